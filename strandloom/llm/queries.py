@@ -10,12 +10,43 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import table
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.html_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.token_counts import prefix_counts
+
+    counts = prefix_counts(table(spark, sf_dir, "documents"), budget=4096, keep_table=False)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_chars_in_budget")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.substring import digests
 
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.sharding import byte_shards
+
+    return byte_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.licenses import recognised
+
+    return recognised(table(spark, sf_dir, "documents"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.simhash import near_duplicates
 
@@ -24,8 +55,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_html_extraction": op4_html_extraction,
+    "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sharding": op7_sharding,
+    "op8_license_scan": op8_license_scan,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _oracles() -> dict[str, str]:
+    from strandloom.llm import licenses
+
+    return {"op8_license_scan": licenses.duckdb_sql()}
+
+
+ORACLE_SQL: dict[str, str] = _oracles()
