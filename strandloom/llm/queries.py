@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.decontam import repeats
+
+    return repeats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.html_text import main_texts
 
@@ -55,6 +73,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
