@@ -193,7 +193,8 @@ def _candidates(buckets: int, bits: int, marks, window: int):
             bucket, key, doc, at = bucket[order], key[order], doc[order], at[order]
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
-            rows = [(k, 0, key[first][a:b].tobytes() + doc[first][a:b].tobytes() + at[first][a:b].tobytes()) for k, a, b in split_runs(bucket[first])]
+            k1, d1, a1 = key[first], doc[first], at[first]
+            rows = [(k, 0, k1[a:b].tobytes() + d1[a:b].tobytes() + a1[a:b].tobytes()) for k, a, b in split_runs(bucket[first])]
             doc, at = doc[~first], at[~first]
             order = np.lexsort((at, doc))
             doc, at = doc[order], at[order]
