@@ -20,6 +20,7 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -118,19 +119,27 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encoded(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids of every row of `docs`. The rank file must be at the same path on every executor."""
+def encoded(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None, check: bool = False) -> DataFrame:
+    """doc_id, ids of every row of `docs`; with `check` also round_trip, whether the ids decode to the text. The rank file must
+    be at the same path on every executor."""
     file, split = (rank_file, pattern) if rank_file and pattern else public_vocabulary()
+    schema = "doc_id long, ids array<int>" + ", round_trip boolean" * check
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(file, split)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = list(map(bpe.encode, texts))
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if check:
+                    columns.append(pa.array([bpe.decode(x) == t.encode("utf-8") for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
