@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ class Windows:
         lists = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         self.n_words = n = np.array([len(x) for x in lists], np.int64)
         total = int(n.sum())
-        symbols = np.fromiter((h for x in lists for h in map(_word.__getitem__, x)), U64, total)
+        symbols = np.fromiter(map(_word.__getitem__, chain.from_iterable(lists)), U64, total)
         begin = np.cumsum(n) - n
         per = np.maximum(n - window + 1, 0)
         self.doc = np.repeat(np.arange(len(n)), per)
@@ -179,7 +180,7 @@ def _mark(bits: int):
 
 
 def _candidates(buckets: int, bits: int, marks, window: int):
-    """(bucket, kind, blob). kind 0: hash, doc_id, first word of windows that may be repeats; kind 1: doc_id, first word of windows that surely are."""
+    """(bucket, kind, blob). kind 0: hashes, differences of doc_ids and of first words of windows that may be repeats; kind 1: doc_id, first words of windows that surely are."""
     shift = U64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +194,10 @@ def _candidates(buckets: int, bits: int, marks, window: int):
             bucket, key, doc, at = bucket[order], key[order], doc[order], at[order]
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
-            k1, d1, a1 = key[first], doc[first], at[first]
-            rows = [(k, 0, k1[a:b].tobytes() + d1[a:b].tobytes() + a1[a:b].tobytes()) for k, a, b in split_runs(bucket[first])]
+            b1, k1, d1, a1 = bucket[first], key[first], doc[first], at[first]
+            order = np.lexsort((a1, d1, b1))  # neighbours of one document differ little, so differences compress well
+            b1, k1, d1, a1 = b1[order], k1[order], d1[order], a1[order]
+            rows = [(k, 0, k1[a:b].tobytes() + np.diff(d1[a:b], prepend=0).tobytes() + np.diff(a1[a:b], prepend=np.int32(0)).tobytes()) for k, a, b in split_runs(b1)]
             doc, at = doc[~first], at[~first]
             order = np.lexsort((at, doc))
             doc, at = doc[order], at[order]
@@ -227,8 +230,8 @@ def _repeats(t: pa.Table) -> pa.Table:
     cut = [(x, len(x) // 20) for x, k in zip(blobs, kinds, strict=True) if not k]
     if cut:
         key = np.frombuffer(b"".join(x[: 8 * n] for x, n in cut), U64)
-        doc = np.frombuffer(b"".join(x[8 * n : 16 * n] for x, n in cut), np.int64)
-        at = np.frombuffer(b"".join(x[16 * n :] for x, n in cut), np.int32)
+        doc = np.concatenate([np.cumsum(np.frombuffer(x, np.int64, n, 8 * n)) for x, n in cut])
+        at = np.concatenate([np.cumsum(np.frombuffer(x, np.int32, n, 16 * n), dtype=np.int32) for x, n in cut])
         order = np.lexsort((at, doc, key))
         key, doc, at = key[order], doc[order], at[order]
         later = np.flatnonzero(key[1:] == key[:-1]) + 1
