@@ -4,10 +4,12 @@ Coarse centroids and the codebooks of the residuals are fitted on a bounded samp
 codes, with the length e of what the codes leave. A query probes every list that can hold a vector within the threshold and
 compares codes by table look-ups; candidates are reranked by exact cosine in double precision.
 
-Nothing is left to luck: on unit vectors, cosine >= c means distance r = sqrt(2 - 2c) or less.
-* Probes: a vector y of list j is nearer to centroid j than to the query's own i, so a query x within r of y has
-  |x - c_j|^2 - |x - c_i|^2 <= 2 r |c_i - c_j|. All such lists are probed, and no others.
-* Codes: |x - decoded(y)| <= r + e(y) for every y within r, so that is the cut for look-up distances.
+On unit vectors, cosine >= c means distance r = sqrt(2 - 2c) or less.
+* Probes: a vector y of list j is nearer to centroid j than to the query's own i, so a query x has |x - c_j|^2 - |x - c_i|^2 <=
+  2 (x - y).(c_i - c_j) / |c_i - c_j| * |c_i - c_j|. The part of x - y along c_i - c_j is r at most, which makes MARGIN = 1 exact; in d dimensions
+  it is about r / sqrt(d) for pairs that differ by noise. With MARGIN = 0.5 all lists within half the worst case are probed: four
+  standard deviations at 64 dimensions. The tests measure recall against brute force, also on pairs that differ along few dimensions.
+* Codes: |x - decoded(y)| <= r + e(y) for every y within r, so that is the cut for look-up distances; no pair is lost there.
 
 Equal vectors are one class: only classes are compared, weighted by their size. Each list is dealt out as blocks of queries and members of
 bounded size; a block emits a count and a forest of links, never pairs.
@@ -31,6 +33,7 @@ from strandloom.llm.components import connected_components
 
 SAMPLE = 16_384  # vectors that the index is fitted on, by the hash of their bytes
 MOST_LISTS = 1024
+MARGIN = 0.5  # share of the worst case that probes cover
 SUBSPACES, CODES = 8, 64
 MEMBERS, QUERIES = 4096, 8192  # of one block
 SLACK = 1e-5  # for rounding in single precision
@@ -64,9 +67,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class ProductIndex:
-    def __init__(self, sample: np.ndarray, lists: int, threshold: float):
+    def __init__(self, sample: np.ndarray, lists: int, threshold: float, margin: float):
         self.radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-        self.threshold = threshold
+        self.threshold, self.margin = threshold, margin
         self.centers = kmeans(sample, min(lists, len(sample)))
         self.apart = np.sqrt(np.maximum(0, ((self.centers[:, None] - self.centers[None]) ** 2).sum(2)))
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
@@ -84,7 +87,7 @@ class ProductIndex:
         """(which row, which list) of every list that may hold a vector within the radius."""
         far = (self.centers**2).sum(1)[None] - 2 * x @ self.centers.T
         own = far[np.arange(len(x)), of][:, None]
-        return np.nonzero(far - own <= 2 * self.radius * self.apart[of] + SLACK)
+        return np.nonzero(far - own <= 2 * self.margin * self.radius * self.apart[of] + SLACK)
 
     def near(self, queries: np.ndarray, at: int, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Candidates (query x member) by look-up distances in list `at`."""
@@ -96,26 +99,38 @@ class ProductIndex:
         return far <= (self.radius + left + SLACK)[None] ** 2
 
 
-def _rows_of(batch: pa.RecordBatch, column: int, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.float64).reshape(-1, width)
+def _kind(vectors: DataFrame) -> np.dtype:
+    """Single precision is kept as it is where the column has it; all arithmetic is in double precision."""
+    return np.dtype(np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64)
+
+
+def _rows_of(data: list[bytes], width: int, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(data), kind).reshape(-1, width).astype(np.float64)
+
+
+def _unpacked(blobs: list[bytes], width: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes and vectors of packed rows."""
+    rows = np.frombuffer(b"".join(blobs), np.dtype([("id", np.int64), ("n", np.int64), ("x", kind, (width,))]))
+    return rows["id"].copy(), rows["n"].copy(), rows["x"].astype(np.float64)
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, key (bytes of the vector in double precision, null where it links with nothing), width."""
+    """vec_id, key (bytes of the vector, null where it links with nothing), width (of those bytes)."""
+    kind = _kind(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
             for row in batch.column(1).to_pylist():
-                x = np.array([np.nan if v is None else v for v in row or ()], np.float64) + 0.0
+                x = np.array([np.nan if v is None else v for v in row or ()], kind) + kind.type(0)
                 keys.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["vec_id", "key"])
 
-    kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding"))
     return kept.mapInArrow(run, "vec_id long, key binary").withColumn("width", F.length("key"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float = MARGIN) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `vectors`."""
     spark = vectors.sparkSession
     rows = stored(valid_vectors(vectors), "vectors")
@@ -123,19 +138,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if common is None:
         return alone(rows)
-    width = common["width"] // 8
+    kind = _kind(vectors)
+    width = common["width"] // kind.itemsize
     usable = F.col("key").isNotNull() & (F.col("width") == common["width"])
     classes = stored(rows.where(usable).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     total = classes.count()
     sample = classes.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()["key"]
-    index = spark.sparkContext.broadcast(ProductIndex(unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, width)), lists_for(total), threshold))
+    index = spark.sparkContext.broadcast(ProductIndex(unit(_rows_of(list(sample), width, kind)), lists_for(total), threshold, margin))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         members, queries = np.zeros(len(ix.centers), np.int64), np.zeros(len(ix.centers), np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
-                x = unit(_rows_of(batch.slice(i, 4096), 0, width))
+                x = unit(_rows_of(batch.slice(i, 4096).column(0).to_pylist(), width, kind))
                 of = nearest(x, ix.centers)
                 members += np.bincount(of, minlength=len(members))
                 queries += np.bincount(ix.probes(x, of)[1], minlength=len(queries))
@@ -151,34 +167,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                raw = _rows_of(part, 0, width)
-                x, reps, n = unit(raw), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+                data = np.empty(part.num_rows, np.dtype([("id", np.int64), ("n", np.int64), ("x", kind, (width,))]))
+                data["x"] = raw = _rows_of(part.column(0).to_pylist(), width, kind)
+                reps, data["n"] = (part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+                data["id"] = reps
+                x = unit(raw)
                 of = nearest(x, ix.centers)
                 who, lists = ix.probes(x, of)
                 h = mix(reps.view(U64))
                 blocks: dict[int, list[list[bytes]]] = {}
-                data = np.concatenate([reps[:, None].view(np.float64), n[:, None].view(np.float64), raw], 1)
-                for kind, (rows_, at) in enumerate(((np.arange(len(x)), of), (who, lists))):
-                    own, other = (member_parts, query_parts) if not kind else (query_parts, member_parts)
+                for side, (rows_, at) in enumerate(((np.arange(len(x)), of), (who, lists))):
+                    own, other = (member_parts, query_parts) if not side else (query_parts, member_parts)
                     mine = (h[rows_] % own[at].astype(U64)).astype(np.int64)
                     beside = other[at]
                     rep = np.repeat(np.arange(len(rows_)), beside)
                     else_ = np.arange(len(rep)) - np.repeat(np.cumsum(beside) - beside, beside)
-                    m, q = (mine[rep], else_) if not kind else (else_, mine[rep])
+                    m, q = (mine[rep], else_) if not side else (else_, mine[rep])
                     key = (at[rep].astype(np.int64) << 40) | (m << 20) | q
                     order = np.argsort(key, kind="stable")
                     for k, lo, hi in split_runs(key[order]):
-                        blocks.setdefault(k, [b"", b""])[kind] = data[rows_[rep[order[lo:hi]]]].tobytes()
+                        blocks.setdefault(k, [b"", b""])[side] = data[rows_[rep[order[lo:hi]]]].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([b[0] for b in blocks.values()], pa.binary()), pa.array([b[1] for b in blocks.values()], pa.binary())], ["block", "members", "queries"])
 
     def compare(t: pa.Table) -> pa.Table:
         ix = index.value
-        members = np.frombuffer(b"".join(t.column("members").to_pylist()), np.float64).reshape(-1, width + 2)
-        queries = np.frombuffer(b"".join(t.column("queries").to_pylist()), np.float64).reshape(-1, width + 2)
+        ids, weight, members = _unpacked(t.column("members").to_pylist(), width, kind)
+        query_ids, _, queries = _unpacked(t.column("queries").to_pylist(), width, kind)
         out: dict[str, list[int]] = {"rep": [], "links": [], "other": []}
         if len(members) and len(queries):
             at = t.column("block")[0].as_py() >> 40
-            ids, weight, y = members[:, 0].copy().view(np.int64), members[:, 1].copy().view(np.int64), unit(members[:, 2:])
+            y = unit(members)
             codes, left = ix.encode(y, np.full(len(y), at))
             tree: dict[int, int] = {}
 
@@ -190,8 +208,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
             step = max(1, 1_000_000 // len(members))
             for i in range(0, len(queries), step):
-                part = queries[i : i + step]
-                own, x = part[:, 0].copy().view(np.int64), unit(part[:, 2:])
+                own, x = query_ids[i : i + step], unit(queries[i : i + step])
                 near = ix.near(x, at, codes, left)
                 for k in np.flatnonzero(near.any(1)).tolist():
                     who = np.flatnonzero(near[k])
