@@ -1,12 +1,13 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Fitting. Labelled rows of the training folds (crc32 of the id mod 5 is not 0) are sampled by the hash of their id, EXAMPLES_A_CLASS of each label at most; this bound is
-the only sample. Terms whose presence goes with the label beyond chance (chi-square of at least CHI_SQUARE over the examples, TERMS at most) make
-the vocabulary, as feature selection for the TF-IDF vectors. Document frequencies behind the IDF are counted over all documents.
+the only sample. A text's terms are its words and the first STEM letters of longer ones, so a word family is a term too; a term counts once a text (binary TF).
+Terms whose presence goes with label 1 beyond chance (chi-square of at least CHI_SQUARE over the examples, TERMS at most, the most telling first) make the vocabulary. Document frequencies
+behind the IDF are counted over all documents.
 
-Search. Each term's postings (example, weight) are sorted by example and cut into blocks with their greatest weight. A query goes through its
-terms document at a time: blocks whose summed maxima can't beat the k-th best cosine so far are skipped whole, so the k nearest are exact. Examples with equal vectors
-are one posting that carries the labels of all.
+Search. Examples are sorted by their terms and numbered; each term's postings (example, weight) are cut into blocks of BLOCK numbers with their greatest
+weight. A query bounds every block by its terms' maxima and reads blocks from the greatest bound down until none left can beat the k-th best cosine, so the k nearest are exact.
+Examples with equal terms are one posting that carries the labels of all.
 
 Scores. Votes of the neighbours are weighted by cosine; a text without any vocabulary term gets the votes of the examples without any. Votes of the examples
 themselves, each left out of its own neighbours, are mapped to probabilities by isotonic regression; both classes are weighted back to their shares among the labelled rows.
@@ -29,19 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import Memo, stored
 
-EXAMPLES_A_CLASS = 4096
-TERMS = 4096
-CHI_SQUARE = 24.0
+EXAMPLES_A_CLASS = 2048
+TERMS = 2048
+CHI_SQUARE = (24.0, 60.0)  # with few examples; with 64 times the greater number of examples, where copies of one text weigh more
+STEM = 4
 NEIGHBOURS = 15
 BLOCK = 64
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def words(text: str | None) -> list[str]:
-    return WORDS((text or "").lower())
+def terms_of(text: str | None) -> set[str]:
+    """Words of a text, and as `abcd*` the first STEM letters of longer ones."""
+    words = set(WORDS((text or "").lower()))
+    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
 
 
 @dataclass
@@ -50,73 +54,60 @@ class Index:
 
     idf: dict[str, float]
     share: float
+    weight: tuple[float, float] = (1.0, 1.0)  # of an example by label
     ids: list[list[int]] = field(default_factory=list)  # of the rows behind each vector
     labels: list[tuple[int, int]] = field(default_factory=list)  # (clean, toxic) rows behind each vector
-    postings: dict[str, list[tuple[np.ndarray, np.ndarray, float]]] = field(default_factory=dict)  # blocks: examples, weights, greatest weight
-    weight: tuple[float, float] = (1.0, 1.0)  # of an example by label
-    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
     none: tuple[int, int] = (0, 0)  # rows without any term
-
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / size for t, x in sorted(v.items())} if size else {}
-
-    def counts(self, text: str | None) -> dict[str, int]:
-        idf = self.idf
-        return Counter(filter(idf.__contains__, words(text)))
-
-    def build(self, examples: list[tuple[int, int, dict[str, int]]]) -> None:
-        same: dict[tuple, int] = {}
-        vectors, none = [], [0, 0]
-        for i, label, counts in sorted(examples, key=lambda e: e[0]):
-            v = self.vector(counts)
-            if not v:
+    greatest: dict[str, np.ndarray] = field(default_factory=dict)  # by term: weight by block
+    postings: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by term and block: places, weights
+    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
+
+    def present(self, text: str | None) -> frozenset[str]:
+        """The vocabulary's terms in a text."""
+        words, idf = set(WORDS((text or "").lower())), self.idf
+        return frozenset([w for w in words if w in idf] + [s for w in words if len(w) > STEM and (s := w[:STEM] + "*") in idf])
+
+    def vector(self, terms: frozenset[str]) -> dict[str, float]:
+        size = math.sqrt(sum(self.idf[t] ** 2 for t in sorted(terms)))
+        return {t: self.idf[t] / size for t in sorted(terms)}
+
+    def build(self, examples: list[tuple[int, int, frozenset[str]]]) -> None:
+        same: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        none = [0, 0]
+        for i, label, terms in sorted(examples, key=lambda e: e[0]):
+            if terms:
+                same.setdefault(tuple(sorted(terms, key=lambda t: (-self.idf[t], t))), []).append((i, label))
+            else:
                 none[label] += 1
-                continue
-            k = same.setdefault(tuple(sorted(counts.items())), len(vectors))
-            if k == len(vectors):
-                vectors.append(v)
-                self.ids.append([])
-                self.labels.append((0, 0))
-            self.ids[k].append(i)
-            a, b = self.labels[k]
-            self.labels[k] = (a + (label == 0), b + (label == 1))
-        self.none = tuple(none)
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for k, v in enumerate(vectors):
-            for t, x in v.items():
-                lists.setdefault(t, []).append((k, x))
-        for t, p in lists.items():
-            self.postings[t] = [(np.array([k for k, _ in b]), w := np.array([x for _, x in b]), float(w.max())) for b in (p[i : i + BLOCK] for i in range(0, len(p), BLOCK))]
-
-    def nearest(self, v: dict[str, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """(cosine, vector) of the k nearest, the smaller number first among equals."""
-        lists = [(x, self.postings[t]) for t, x in v.items() if t in self.postings]
-        if not lists:
+        self.none = (none[0], none[1])
+        lists: dict[tuple[str, int], list[tuple[int, float]]] = {}
+        blocks = -(-len(same) // BLOCK)
+        for k, (terms, rows) in enumerate(sorted(same.items())):
+            self.ids.append([i for i, _ in rows])
+            self.labels.append((sum(label == 0 for _, label in rows), sum(label == 1 for _, label in rows)))
+            for t, x in self.vector(frozenset(terms)).items():
+                lists.setdefault((t, k // BLOCK), []).append((k % BLOCK, x))
+        for (t, b), p in lists.items():
+            weights = np.array([x for _, x in p])
+            self.postings[t, b] = np.array([k for k, _ in p]), weights
+            self.greatest.setdefault(t, np.zeros(blocks))[b] = weights.max()
+
+    def nearest(self, terms: frozenset[str], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        """(cosine, vector) of the k nearest with a positive cosine, the smaller number first among equals."""
+        query = [(t, x) for t, x in self.vector(terms).items() if t in self.greatest]
+        if not query:
             return []
-        # ranges of examples between block ends, on which every term has one block
-        ends = sorted({int(b[0][-1]) + 1 for _, p in lists for b in p})
-        at, best, low = [0] * len(lists), [], 0
-        for end in ends:
-            parts, bound = [], 0.0
-            for i, (x, p) in enumerate(lists):
-                while at[i] < len(p) and p[at[i]][0][-1] < low:
-                    at[i] += 1
-                if at[i] < len(p) and p[at[i]][0][0] < end:
-                    parts.append((x, p[at[i]]))
-                    bound += x * p[at[i]][2]
-            if parts and (len(best) < k or bound > best[-1][0] - 1e-12):
-                sums = np.zeros(end - low)
-                for x, (ks, ws, _) in parts:
-                    a, b = np.searchsorted(ks, (low, end))
-                    sums[ks[a:b] - low] += x * ws[a:b]
-                found = np.flatnonzero(sums)
-                if len(found) > k:
-                    cut = np.partition(sums[found], -k)[-k]
-                    found = found[sums[found] >= cut]
-                best = sorted(best + [(float(sums[f]), int(f) + low) for f in found.tolist()], key=lambda b: (-round(b[0], 12), b[1]))[:k]
-            low = end
+        bounds = sum(x * self.greatest[t] for t, x in query)
+        best: list[tuple[float, int]] = []
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-9):
+                break
+            sums = np.zeros(BLOCK)
+            for t, x in query:
+                if (p := self.postings.get((t, b))) is not None:
+                    sums[p[0]] += x * p[1]
+            found = np.flatnonzero(sums > (best[-1][0] - 1e-9 if len(best) == k else 0))
+            best = sorted(best + [(float(sums[f]), b * BLOCK + f) for f in found.tolist()], key=lambda n: (-round(n[0], 12), n[1]))[:k]
         return best
 
     def vote(self, near: list[tuple[float, int]], leave: tuple[int, int] | None = None) -> float:
@@ -136,43 +127,31 @@ class Index:
         c, t = self.none[0] * self.weight[0], self.none[1] * self.weight[1]
         return t / (c + t) if c + t else self.share
 
-    def calibrate(self, examples: list[tuple[int, int, dict[str, int]]]) -> None:
+    def calibrate(self, examples: list[tuple[int, int, frozenset[str]]]) -> None:
         """Isotonic regression (pool adjacent violators) of the label on the vote."""
         where = {i: k for k, ids in enumerate(self.ids) for i in ids}
-        cache: dict[int, list[tuple[float, int]]] = {}
-        votes = []
-        for i, label, counts in examples:
-            k = where.get(i)
-            if k is None:
-                votes.append((self.base_vote(), label))
-                continue
-            if k not in cache:
-                cache[k] = self.nearest(self.vector(counts))
-            votes.append((self.vote(cache[k], (k, label)), label))
-        pools: list[list[float]] = []  # vote, weight, label 1
-        for vote, label in sorted(votes):
-            w = self.weight[label]
-            if pools and pools[-1][0] == vote:
-                pools[-1][1] += w
-                pools[-1][2] += w * label
-            else:
-                pools.append([vote, w, w * label])
+        near = Memo(self.nearest)
+        votes = [(self.vote(near[terms], (where[i], label)) if terms else self.base_vote(), label) for i, label, terms in examples]
+        pools: dict[float, list[float]] = {}
+        for vote, label in votes:
+            pool = pools.setdefault(vote, [vote, 0.0, 0.0])
+            pool[1] += self.weight[label]
+            pool[2] += self.weight[label] * label
         merged: list[list[float]] = []
-        for p in pools:
-            merged.append([p[0], p[1], p[2]])
+        for _, pool in sorted(pools.items()):
+            merged.append(pool)
             while len(merged) > 1 and merged[-2][2] / merged[-2][1] >= merged[-1][2] / merged[-1][1]:
                 last = merged.pop()
                 merged[-1] = [merged[-1][0], merged[-1][1] + last[1], merged[-1][2] + last[2]]
         self.steps = (np.array([m[0] for m in merged]), np.array([m[2] / m[1] for m in merged]))
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Score, and as evidence an example of each neighbour and its cosine. Between the calibration's steps the raw vote decides the order."""
-        v = self.vector(self.counts(text))
-        near = self.nearest(v) if v else []
-        vote = self.vote(near) if near else self.base_vote()
+    def score(self, terms: frozenset[str]) -> tuple[float, list[int], list[float]]:
+        """Score, and as evidence an example of each neighbour and its cosine. On a step of the calibration the raw vote decides the order."""
         at, value = self.steps
         if not len(at):
             return self.share, [], []
+        near = self.nearest(terms) if terms else []
+        vote = self.vote(near) if near else self.base_vote()
         k = max(0, int(np.searchsorted(at, vote, side="right")) - 1)
         return float(np.clip(0.98 * value[k] + 0.02 * vote, 0, 1)), [self.ids[n][0] for _, n in near], [c for c, _ in near]
 
@@ -195,33 +174,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(words(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(terms_of(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "terms"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = some.join(texts, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")  # the sample is small, the texts aren't moved if it is broadcast
-    examples = stored(chosen.mapInArrow(terms, "doc_id long, label int, terms array<string>, counts array<int>"), "examples")
+    chosen = some.join(texts, "doc_id").dropDuplicates(["doc_id"]).dropDuplicates(["label", "text"]).select("doc_id", "label", "text")  # 2 * EXAMPLES_A_CLASS ids: adaptive execution sends them, not the texts
+    examples = stored(chosen.mapInArrow(terms, "doc_id long, label int, terms array<string>"), "examples")
     n = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     by_term = examples.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label") == 1).alias("b"))
     chi = F.expr(f"{n0 + n1} * pow(cast(a as double) * ({n1} - b) - cast(b as double) * ({n0} - a), 2) / (cast(a + b as double) * ({n0 + n1} - a - b) * {n0}D * {n1}D)")
-    vocabulary = [r["term"] for r in by_term.where(f"a + b < {n0 + n1}").withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+    vocabulary = [r["term"] for r in by_term.where(f"a + b < {n0 + n1} and b * {n0} > a * {n1}").withColumn("chi", chi).where(F.col("chi") >= min(max((n0 + n1) / 64, CHI_SQUARE[0]), CHI_SQUARE[1])).orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df, rows = frozenset(vocabulary), Counter(), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 rows += 1
-                df.update(known.intersection(words(text)))
+                words = set(WORDS((text or "").lower()))
+                df.update(known.intersection(words))
+                df.update(known.intersection({w[:STEM] + "*" for w in words if len(w) > STEM}))
         df[""] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
 
     df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # TERMS rows at most
     total = df.pop("", 0)
     index = Index({t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, share)
-    known = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    kept = examples.select("doc_id", "label", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(known, x["terms"])).alias("kept"))
-    rows = [(r["doc_id"], r["label"], {x["terms"]: x["counts"] for x in r["kept"]}) for r in kept.collect()]  # 2 * EXAMPLES_A_CLASS rows at most
+    vocabulary_set = frozenset(vocabulary)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t in ts if t in vocabulary_set] for ts in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "terms"])
+
+    rows = [(r["doc_id"], r["label"], frozenset(r["terms"])) for r in examples.mapInArrow(kept, "doc_id long, label int, terms array<string>").collect()]  # 2 * EXAMPLES_A_CLASS rows at most
     index.weight = ((1 - share) / max(1, n0), share / max(1, n1))
     index.build(rows)
     index.calibrate(rows)
@@ -234,12 +218,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
-        base = ix.score(None)
+        scores = Memo(ix.score, 100_000)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                known = ix.idf.keys()
-                rows = [ix.score(t) if t and not known.isdisjoint(words(t)) else base for t in part.column(1).to_pylist()]
+                rows = [scores[ix.present(t)] for t in part.column(1).to_pylist()]
                 columns = [part.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence_ids", "evidence_cosines"])
 
@@ -255,10 +238,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
-        base = ix.score(None)[0]
+        scores = Memo(ix.score, 100_000)
         for batch in batches:
-            known = ix.idf.keys()
-            scores = [ix.score(t)[0] if t and not known.isdisjoint(words(t)) else base for t in batch.column(where).to_pylist()]
-            yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+            yield batch.filter(pa.array([scores[ix.present(t)][0] < 0.5 for t in batch.column(where).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
