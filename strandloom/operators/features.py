@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import FeatureParams
 from strandloom.functions import sequences as S
+from strandloom.operators.seeds import spread
 
 DIMERS = [a + b for a in S.BASES for b in S.BASES if a + b != "TT"]
 
@@ -34,9 +35,10 @@ def monomer_features(seqs: DataFrame, seq_id: str, span: int = 32, cell: int = 1
 
 
 def _windows(seqs: DataFrame, seq_id: str, span: int, cell: int) -> DataFrame:
-    last = F.floor((F.length("seq") - span) / cell).cast("int")
-    cells = F.when(F.length("seq") >= span, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return seqs.select(F.col(seq_id).alias("seq_id"), "seq", F.explode(cells).alias("cell")).select("seq_id", "cell", F.substr("seq", F.col("cell") * cell + 1, F.lit(span)).alias("w"))
+    rows = spread(seqs.select(F.col(seq_id).alias("seq_id"), F.col("seq").cast("binary").alias("b")))
+    last = F.floor((F.octet_length("b") - span) / cell).cast("int")
+    cells = F.when(F.octet_length("b") >= span, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return rows.select("seq_id", "b", F.explode(cells).alias("cell")).select("seq_id", "cell", F.substr("b", F.col("cell") * cell + 1, F.lit(span)).cast("string").alias("w"))
 
 
 def distance(a: Column, b: Column) -> Column:

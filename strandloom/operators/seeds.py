@@ -9,10 +9,22 @@ from strandloom.config import IndexParams, ProbeParams
 from strandloom.functions import sequences as S
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt evenly to all cores if its scan has fewer parts than that; what follows makes many rows of each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def kmer_rows(seqs: DataFrame, seq_id: str, k: int, step: int = 1) -> DataFrame:
-    """seq_id, pos, kmer: every `step`-th k-mer without N."""
-    rows = seqs.select(F.col(seq_id).alias("seq_id"), F.explode(S.kmers(F.col("seq"), k, step)).alias("k"))
-    return rows.select("seq_id", "k.pos", "k.kmer").where(~F.contains("kmer", F.lit("N")))
+    """seq_id, pos, kmer: every `step`-th k-mer without N.
+
+    Positions are exploded and each k-mer is cut in generated code, from bytes: a cut of a string walks to its place, one of bytes doesn't.
+    """
+    rows = spread(seqs.select(F.col(seq_id).alias("seq_id"), F.col("seq").cast("binary").alias("b")))
+    last = F.octet_length("b") - k
+    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    cut = rows.select("seq_id", "b", F.explode(at).alias("pos")).select("seq_id", "pos", F.substr("b", F.col("pos") + 1, F.lit(k)).cast("string").alias("kmer"))
+    return cut.where(~F.contains("kmer", F.lit("N")))
 
 
 def kmer_counts(seqs: DataFrame, seq_id: str, k: int) -> DataFrame:
