@@ -336,3 +336,49 @@ define("median_islands", "read_id:l gid:l strand:l x:l y:l island:l")(lambda s,
 define("cord_repair", "read_id:l ord:l x1:l y1:l x2:l y2:l")(lambda s, d: chains.repaired(cords(s, d)))
 define("sam_records", "read_id:l line_id:l value:s")(lambda s, d: alignments.sam_text(mapping.map_reads(reads(s, d), genomes(s, d), EngineParams(bins=BinParams(least=LEAST))).lines, reads(s, d)))
 define("banded_alignment", "pair_id:l score:l")(lambda s, d: composition.alignment_scores(genomes(s, d).select(F.col("gid").alias("pair_id"), F.col("seq").alias("a"), S.reverse_complement(F.col("seq")).alias("b"))))
+
+# other indexes
+from strandloom.config import IndexParams  # noqa: E402
+from strandloom.operators import gaps  # noqa: E402
+
+define("index_span_21_cap_200", "gid:l x:l strand:l minimizer:s ext:l", f"{D_GENOMES}, s AS (SELECT *, lag(minimizer) OVER w AS lm, lag(pos) OVER w AS lp FROM {d_seeds('genomes', 'gid', 8)} WINDOW w AS (PARTITION BY seq_id ORDER BY pos)), n AS (SELECT * FROM s WHERE lm IS NULL OR lm <> minimizer OR pos - lp > 10) => SELECT seq_id AS gid, pos AS x, strand, minimizer, ext FROM n WHERE minimizer IN (SELECT minimizer FROM n GROUP BY 1 HAVING count(*) <= 200)")(
+    lambda s, d: seeds.genome_index(genomes(s, d), IndexParams(step=8, cap=200))
+)
+define("index_span_17_cap_1024", "gid:l x:l strand:l minimizer:s ext:l")(lambda s, d: seeds.genome_index(genomes(s, d), IndexParams(span=17, weight=9, step=8, cap=1024)))
+
+
+def mapped(s: SparkSession, d: str) -> DataFrame:
+    return mapping.anchor_blocks(reads(s, d), genomes(s, d), EngineParams(bins=BinParams(least=LEAST)))
+
+
+D_GAPS = f"""{D_BLOCKS}, gm AS (SELECT b.*, length(seq) AS len, lag(xend) OVER w AS px, lag(yend) OVER w AS py, lead(ystart) OVER w AS ny FROM blocks b JOIN reads USING (read_id) WINDOW w AS (PARTITION BY read_id, gid, strand ORDER BY ystart, xstart, yend, xend)),
+gb AS (SELECT *, least(ystart, xstart, 2000) AS h, least(len - yend, 2000) AS t FROM gm),
+gaps AS (SELECT read_id, gid, strand, 'head' AS kind, xstart - h AS x_lo, xstart AS x_hi, ystart - h AS y_lo, ystart AS y_hi FROM gb WHERE py IS NULL AND h > 50
+UNION ALL SELECT read_id, gid, strand, 'inner', px, xstart, py, ystart FROM gb WHERE abs(xstart - px) < 3000 AND xstart >= px AND ystart >= py AND greatest(xstart - px, ystart - py) > 50
+UNION ALL SELECT read_id, gid, strand, 'tail', xend, xend + t, yend, yend + t FROM gb WHERE ny IS NULL AND t > 50)"""
+define("gap_table", "read_id:l gid:l strand:l kind:s x_lo:l x_hi:l y_lo:l y_hi:l", f"{D_GAPS} => SELECT * FROM gaps")(lambda s, d: gaps.gap_table(mapped(s, d), reads(s, d)))
+define(
+    "gap_range_join", "read_id:l gid:l strand:l kind:s x:l y:l",
+    f"""{D_GAPS}, cutg AS (SELECT g.*, CASE WHEN strand = 0 THEN r.seq ELSE {RC.format('r.seq')} END AS rs, o.seq AS gs FROM gaps g JOIN reads r USING (read_id) JOIN genomes o USING (gid)),
+lw AS (SELECT *, substr(gs, p + 1, 9) AS kmer FROM (SELECT *, unnest(range(x_lo, least(x_hi, length(gs)) - 8, 5)) AS p FROM cutg)), rw AS (SELECT *, substr(rs, q + 1, 9) AS kmer FROM (SELECT *, unnest(range(y_lo, least(y_hi, length(rs)) - 8)) AS q FROM cutg))
+=> SELECT l.read_id, l.gid, l.strand, l.kind, p AS x, q AS y FROM lw l JOIN rw r ON l.read_id = r.read_id AND l.gid = r.gid AND l.strand = r.strand AND l.kind = r.kind AND l.x_lo = r.x_lo AND l.y_lo = r.y_lo AND l.kmer = r.kmer WHERE p - q BETWEEN least(l.x_lo - l.y_lo, l.x_hi - l.y_hi) - 50 AND greatest(l.x_lo - l.y_lo, l.x_hi - l.y_hi) + 50""",
+)(lambda s, d: gaps.gap_anchors(gaps.gap_table(mapped(s, d), reads(s, d)), reads(s, d), genomes(s, d)))
+define("gap_remap", "read_id:l gid:l strand:l ord:l x:l y:l from_gap:b")(lambda s, d: gaps.remapped(mapped(s, d), kept(s, d), reads(s, d), genomes(s, d)))
+D_GL = f"{D_G}, sg AS (SELECT *, coalesce(greatest(x - lag(x) OVER w - 3600, 0), 0) AS sx, coalesce(greatest(y - lag(y) OVER w - 3600, 0), 0) AS sy FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ord))"
+define("gap_lengths", "user_id:l ord:l lx:l ly:l", f"{D_GL} => SELECT user_id, ord, sum(sx) OVER v AS lx, sum(sy) OVER v AS ly FROM sg WINDOW v AS (PARTITION BY user_id ORDER BY ord ROWS UNBOUNDED PRECEDING)")(lambda s, d: gaps.gap_lengths(points(s, d), ["user_id"], 3600).withColumnsRenamed({"gx": "lx", "gy": "ly"}))
+D_CUT = f"{D_POINTS}, h AS (SELECT user_id, ord, x // 3600 AS main, CAST(floor(value) AS BIGINT) AS cost, event_type FROM points)"
+halves = lambda s, d: points(s, d).select("user_id", "ord", F.expr("x div 3600").alias("main"), F.floor("value").alias("cost"), "event_type")
+define("breakpoint_cut", "user_id:l ord_1:l ord_2:l cost:l", f"{D_CUT}, p AS (SELECT a.user_id, struct_pack(cost := a.cost + b.cost + b.main - a.main, ord_1 := a.ord, ord_2 := b.ord) AS m FROM h a JOIN h b ON a.user_id = b.user_id AND b.main - a.main BETWEEN 0 AND 30 WHERE a.event_type = 'purchase' AND b.event_type <> 'purchase') => SELECT user_id, min(m).ord_1 AS ord_1, min(m).ord_2 AS ord_2, min(m).cost AS cost FROM p GROUP BY 1")(lambda s, d: gaps.best_cut(halves(s, d).where("event_type = 'purchase'"), halves(s, d).where("event_type <> 'purchase'"), ["user_id"]))
+define("extension_filter", "user_id:l ord:l", f"{D_POINTS}, f AS (SELECT *, CASE WHEN abs(x - lag(x) OVER w) > 90000 OR abs(y - lag(y) OVER w) > 90000 THEN 1 ELSE 0 END AS far FROM points WINDOW w AS (PARTITION BY user_id ORDER BY ord)), s AS (SELECT *, max(far) OVER (PARTITION BY user_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stop FROM f) => SELECT user_id, ord FROM s WHERE stop = 0")(lambda s, d: gaps.until_far(points(s, d), ["user_id"], 90_000))
+define("gap_group_filter", "cust:l left_id:l n:l", f"{D_INTERVALS}, sz AS (SELECT cust, l_orderkey, count(*) AS n FROM intervals GROUP BY 1, 2), st AS (SELECT cust, median(n) AS mid, count(*) AS groups FROM sz GROUP BY 1) => SELECT i.cust, i.left_id, sz.n FROM intervals i JOIN sz USING (cust, l_orderkey) JOIN st ON st.cust = i.cust WHERE groups <= 3 OR n >= mid")(lambda s, d: gaps.large_groups(intervals(s, d), ["cust"], "l_orderkey", 3))
+D_CH = f"{D_ORDERS}, ch AS (SELECT cust, chain_id, start_ AS xstart, end_ AS xend, chain_id % 1000 AS ystart, chain_id % 1000 + (end_ - start_) AS yend, end_ - start_ AS n, 100 AS len FROM ord)"
+spans = lambda s, d: order_spans(s, d).select("cust", "chain_id", F.col("start_").alias("xstart"), F.col("end_").alias("xend"), (F.col("chain_id") % 1000).alias("ystart"), (F.col("chain_id") % 1000 + F.col("end_") - F.col("start_")).alias("yend"), (F.col("end_") - F.col("start_")).alias("n"), F.lit(100).alias("len"), (F.col("chain_id") % 2).alias("strand"))
+define("beside_major_chain", "cust:l chain_id:l n:l", f"{D_CH}, tm AS (SELECT *, row_number() OVER w AS rank, first(xstart) OVER w AS mxs, first(xend) OVER w AS mxe, first(ystart) OVER w AS mys, first(yend) OVER w AS mye FROM ch WINDOW w AS (PARTITION BY cust ORDER BY n DESC, chain_id)) => SELECT cust, chain_id, n FROM tm WHERE rank = 1 OR (xstart <= mxe + 200 AND xend >= mxs - 200 AND (ystart > mye OR yend < mys))")(lambda s, d: gaps.beside_major(spans(s, d), ["cust"], "len"))
+define("best_strand", "cust:l strand:l total:l", f"{D_CH}, sm AS (SELECT cust, chain_id % 2 AS strand, sum(yend - ystart) AS total FROM ch GROUP BY 1, 2) => SELECT cust, -max(struct_pack(t := total, s := -strand)).s AS strand, max(total) AS total FROM sm GROUP BY 1")(lambda s, d: gaps.best_strand(spans(s, d), ["cust"]))
+define("hit_list", "cust:l group_id:l n:l rank:l", f"{D_CH}, rk AS (SELECT cust, chain_id AS group_id, n, row_number() OVER (PARTITION BY cust ORDER BY n DESC, chain_id) AS rank, max(n) OVER (PARTITION BY cust) AS top FROM ch) => SELECT * FROM rk WHERE rank <= 10 AND n >= 0.1 * top")(lambda s, d: gaps.hit_list(spans(s, d).withColumnRenamed("chain_id", "group_id"), ["cust"]))
+define("block_scores", "user_id:l drift:d mapped:l", f"{D_POINTS}, st AS (SELECT user_id, abs((x - y) - lag(x - y) OVER w) AS dd, y - lag(y) OVER w AS dy FROM points WINDOW w AS (PARTITION BY user_id ORDER BY ord)) => SELECT user_id, round(avg(dd), 6) AS drift, coalesce(sum(dy) FILTER (WHERE dy >= 0 AND dy < 400), 0) AS mapped FROM st GROUP BY 1")(lambda s, d: gaps.block_scores(points(s, d), ["user_id"]))
+define("paf_rows", "read_id:l block_id:l rname:s rlen:l ystart:l yend:l sign:s gname:s glen:l xstart:l xend:l windows:l", f"{D_CORDS} => SELECT c.read_id, block_id, r.name AS rname, length(r.seq) AS rlen, min(y1) AS ystart, max(y2) AS yend, CASE WHEN strand = 1 THEN '-' ELSE '+' END AS sign, g.name AS gname, length(g.seq) AS glen, min(x1) AS xstart, max(x2) AS xend, count(*) AS windows FROM cords c JOIN reads r USING (read_id) JOIN genomes g USING (gid) GROUP BY c.read_id, block_id, r.name, r.seq, strand, g.name, g.seq")(lambda s, d: gaps.paf_rows(cords(s, d), reads(s, d), genomes(s, d)))
+define("cigar_error_share", "l_orderkey:l share:d", f"{D_OPS} => SELECT l_orderkey, round(sum(CASE WHEN op = 'X' OR op IN ('I', 'D') THEN n ELSE 0 END) / greatest(sum(n), 1), 6) AS share FROM ops GROUP BY 1")(lambda s, d: cigars(s, d).select("l_orderkey", gaps.error_shares(F.col("cigar")).alias("share")))
+define("window_extend", "start_id:l ord:l x:l y:l")(
+    lambda s, d: gaps.extended(genomes(s, d).select(F.col("gid").alias("start_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("seq").alias("genome"), F.col("seq").alias("read")))
+)
