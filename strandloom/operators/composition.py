@@ -32,8 +32,8 @@ def centred_d2(left: DataFrame, right: DataFrame, k: int, pseudo: float = 0.0) -
 def bin_counts(bins: DataFrame, queries: DataFrame, k: int, threshold: int) -> DataFrame:
     """query_id, bin_id, n: distinct bins' k-mers that a query's distinct k-mers hit, `threshold` or more (an exact interleaved filter)."""
     inside = seeds.kmer_rows(bins, "bin_id", k).select(F.col("seq_id").alias("bin_id"), "kmer").distinct()
-    asked = seeds.kmer_rows(queries, "query_id", k).select(F.col("seq_id").alias("query_id"), "kmer").distinct()
-    return asked.join(inside, "kmer").groupBy("query_id", "bin_id").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    hit = seeds.kmer_rows(queries, "query_id", k).select(F.col("seq_id").alias("query_id"), "kmer").join(inside.select("kmer").distinct(), "kmer", "left_semi")
+    return hit.distinct().join(inside, "kmer").groupBy("query_id", "bin_id").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
 
 
 def gapped_qgrams(seqs: DataFrame, seq_id: str, shape: str) -> DataFrame:

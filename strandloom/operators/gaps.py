@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandloom.config import ChainParams, FeatureParams
 from strandloom.functions import sequences as S
 from strandloom.operators.chains import best_chains, truncated
+from strandloom.operators.features import dimer_counts
 
 HEAD, INNER, TAIL = "head", "inner", "tail"
 
@@ -176,20 +177,6 @@ def error_shares(cigar: Column) -> Column:
     return F.round(wrong / F.greatest(total, F.lit(1)), 6)
 
 
-def dimer_counts(seq: str, params: FeatureParams = FeatureParams()) -> np.ndarray:
-    """Counts (cell x 15) of the two-mers of every `span` bases, a row each `cell` bases."""
-    code = np.full(256, -1, np.int64)
-    for i, b in enumerate(S.BASES):
-        code[ord(b)] = i
-    base = code[np.frombuffer(seq.encode(), np.uint8)]
-    pair = np.where((base[:-1] >= 0) & (base[1:] >= 0), base[:-1] * 4 + base[1:], 15)
-    sums = np.zeros((len(seq), 15), np.int64)
-    if len(seq) > 1:
-        np.cumsum(pair[:, None] == np.arange(15)[None], axis=0, out=sums[1:])
-    cells = np.arange(max(0, (len(seq) - params.span) // params.cell + 1)) * params.cell
-    return sums[cells + params.span - 1] - sums[cells]
-
-
 def extended(starts: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
     """Windows that go on from a start as long as their composition agrees: start_id, ord, x, y.
 
@@ -199,7 +186,7 @@ def extended(starts: DataFrame, params: FeatureParams = FeatureParams()) -> Data
     apart = params.span // params.cell
 
     def walk(x: int, y: int, genome: str, read: str) -> list[tuple[int, int]]:
-        g, r, out = dimer_counts(genome, params), dimer_counts(read, params), []
+        g, r, out = (*(dimer_counts(q.encode(), params.span, params.cell) for q in (genome, read)), [])
         cx, cy = x // params.cell, y // params.cell
         while True:
             cy += params.med
