@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by backtracking over longest matches.
 
-A piece's bytes, read as Latin-1, go through an Aho-Corasick automaton of the vocabulary, which lists every token that fits at
-every place. The encoder takes the longest token at each place and goes back to the next shorter one where the token can't
+A piece's bytes, read as Latin-1, are matched from each place that is reached against an Aho-Corasick automaton of the vocabulary, whose trie bounds the
+longest token that fits there. The encoder takes the longest token at each place and goes back to the next shorter one where the token can't
 stand beside its left neighbour, or where everything after it has failed before. Two tokens can stand side by side if merging their bytes
 by rank gives just these two; that is worked out once a pair and kept. The sequence of tokens all of whose
 neighbours are compatible is unique and is what the merges produce. A place is left for good at most once, so the work is linear
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Memo
+from strandloom.llm.common import Memo, tidied
 
 LONGEST_KEPT = 64  # bytes of a piece whose ids are remembered
 
@@ -39,14 +39,16 @@ class BytePairEncoder:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
+        self.rank_of = {token.decode("latin-1"): rank for token, rank in self.ranks.items()}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for token, rank in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+        for token, rank in self.rank_of.items():
+            self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.rank_of))
         self.size = {rank: len(token) for token, rank in self.ranks.items()}
-        self.beside = Memo(self._beside, 1_000_000)
+        self.beside = Memo(self._beside, 400_000)
         self.alone = Memo(lambda rank: self.merged(self.token[rank]) == [rank], 200_000)
-        self.kept = Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8"))), 800_000)
+        self.kept = Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8"))), 400_000)
 
     def merged(self, data: bytes) -> list[int]:
         """The merges as defined, lowest rank first; for pairs of tokens only."""
@@ -68,32 +70,30 @@ class BytePairEncoder:
     def encode_piece(self, data: bytes) -> list[int]:
         if data in self.ranks:
             return [self.ranks[data]]
-        fits: list[list[int]] = [[] for _ in data]  # by start, shorter first
-        size = self.size
-        for last, rank in self.automaton.iter(data.decode("latin-1")):
-            fits[last + 1 - size[rank]].append(rank)
-        n, at, ids = len(data), 0, []
+        text = data.decode("latin-1")
+        n, at, ids = len(text), 0, []
+        rank_of, size, beside, alone, most, longest = self.rank_of.get, self.size, self.beside, self.alone, self.longest, self.automaton.longest_prefix
         dead = bytearray(n + 1)
-        tried = [len(f) for f in fits]  # candidates of a place that are still to be tried, from the longest
-        beside, alone = self.beside, self.alone
+        left = [-1] * n  # by place: the longest length that is still to be tried; -1 before the first visit
         while at < n:
-            found = -1
-            k = tried[at]
+            k = left[at]
+            if k < 0:
+                k = longest(text[at : at + most])  # no token that fits here is longer
             while k:
+                if not dead[at + k]:
+                    rank = rank_of(text[at : at + k])
+                    if rank is not None and (beside[ids[-1], rank] if ids else alone[rank]):
+                        break
                 k -= 1
-                rank = fits[at][k]
-                if not dead[at + size[rank]] and (beside[ids[-1], rank] if ids else alone[rank]):
-                    found = rank
-                    break
-            if found >= 0:
-                tried[at] = k
-                ids.append(found)
-                at += size[found]
+            if k:
+                left[at] = k - 1
+                ids.append(rank)
+                at += k
             else:
                 if not ids:
                     raise ValueError("the vocabulary lacks a byte")
                 dead[at] = 1  # whatever stands before: a place reached by a token fails or goes on as a whole
-                tried[at] = len(fits[at])
+                left[at] = -1
                 at -= size[ids.pop()]
         return ids
 
@@ -104,6 +104,9 @@ class BytePairEncoder:
             return list(chain.from_iterable(kept[p] if len(p) <= LONGEST_KEPT else own(p.encode("utf-8")) for p in pieces))
         return list(chain.from_iterable(map(kept.__getitem__, pieces)))
 
+    def caches(self) -> list[Memo]:
+        return [self.kept, self.beside]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -139,7 +142,7 @@ def encoded(docs: DataFrame, rank_file: str | None = None, pattern: str | None =
                     columns.append(pa.array([bpe.decode(x) == t.encode("utf-8") for x, t in zip(ids, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run, lambda: encoder(file, split).caches()), schema)
 
 
 def digests(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -158,4 +161,4 @@ def digests(docs: DataFrame, rank_file: str | None = None, pattern: str | None =
                     rows.append((len(ids), hashlib.sha256(b" ".join(map(word.__getitem__, ids))).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run, lambda: encoder(file, split).caches()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; with `spread` dealt evenly to all cores if its scan has fewer parts than those (a single small file)."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if spread and rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,21 +57,41 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A cache for one function that starts again once it holds `most` keys, so its memory is bounded."""
+    """A cache for one function, of `most` keys at most: once half of that is new, what was kept before goes, but for keys used since. Values aren't None."""
 
     def __init__(self, make, most: int = 1_000_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.old = make, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
+    def empty(self) -> None:
+        self.clear()
+        self.old.clear()
 
-def pieces(batch: pa.RecordBatch, rows: int) -> list[pa.RecordBatch]:
-    return [batch.slice(i, rows) for i in range(0, batch.num_rows, rows)]
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], caches: Callable[[], list[Memo]] = list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which a worker's caches are emptied and its free memory goes back to the system: workers are used again by later stages, and an executor's memory is shared with them."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches():
+                cache.empty()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidy
 
 
 def split_runs(keys: np.ndarray) -> list[tuple[int, int, int]]:

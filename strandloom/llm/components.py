@@ -6,35 +6,12 @@ shuffle, and a hot node's join can be split by adaptive execution. Steps are cut
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import drop_stored, stored
 
 
-def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces each batch's edges by stars around the smallest node of each tree: as many edges as nodes at most."""
-    for batch in batches:
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(u), root(v)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        out = [(x, root(x)) for x in up]
-        out = [(x, r) for x, r in out if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], ["u", "v"])
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node that can be reached.
 
@@ -42,7 +19,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     u, v = edges.columns[:2]
     edges = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v")
-    now = stored(edges.mapInArrow(local_forest, "u long, v long").distinct(), "edges")
+    now = stored(edges.distinct(), "edges")
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = print_of(now)
     for _ in range(most_rounds):

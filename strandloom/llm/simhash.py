@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import U64, mix, split_runs, stored
+from strandloom.llm.common import U64, mix, split_runs, stored, tidied
 from strandloom.llm.components import connected_components
 
 CODE_BITS, COVER_RADIUS = 23, 3
@@ -136,7 +136,7 @@ def fingerprint_rows(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 fp = fingerprints_of(part.column(1).to_pylist(), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def _count_anchors(threshold: int):
@@ -158,8 +158,8 @@ def _deal(threshold: int, home_parts: np.ndarray, visit_parts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-            for i in range(0, len(every), 20_000):
-                fp = every[i : i + 20_000]
+            for i in range(0, len(every), 10_000):
+                fp = every[i : i + 10_000]
                 home, who, anchors = homes_and_visits(fp, threshold)
                 mine = mix(fp ^ U64(0x9E3779B97F4A7C15))
                 blocks: dict[tuple[int, int, int], list[bytes]] = {}
@@ -217,12 +217,12 @@ def _compare(threshold: int):
 
 def links_forest(distinct: DataFrame, threshold: int = 3) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that span the same components as all links at `threshold` bits or fewer."""
-    counts = distinct.select("fp").mapInArrow(_count_anchors(threshold), "anchor int, homes long, visits long").groupBy("anchor").agg(F.sum("homes"), F.sum("visits"))
+    counts = distinct.select("fp").mapInArrow(tidied(_count_anchors(threshold)), "anchor int, homes long, visits long").groupBy("anchor").agg(F.sum("homes"), F.sum("visits"))
     home_parts, visit_parts = np.ones(len(golay()), np.int64), np.ones(len(golay()), np.int64)
     for anchor, homes, visits in counts.collect():  # one row per anchor: 4,096 at most
         home_parts[anchor] = max(1, -(-homes // RESIDENTS))
         visit_parts[anchor] = max(1, -(-visits // VISITORS))
-    dealt = distinct.select("fp").mapInArrow(_deal(threshold, home_parts, visit_parts), "block long, homes binary, visits binary")
+    dealt = distinct.select("fp").mapInArrow(tidied(_deal(threshold, home_parts, visit_parts)), "block long, homes binary, visits binary")
     return dealt.groupBy("block").applyInArrow(_compare(threshold), "u long, v long")
 
 

@@ -32,16 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import U64, Memo, mix, split_runs
+from strandloom.llm.common import U64, Memo, mix, split_runs, tidied
 
 ROUNDS = 12
 COINS = np.arange(ROUNDS + 1, dtype=U64) * U64(0xA0761D6478BD642F)
 BASE = U64(0x9E3779B97F4A7C15 | 5)
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 TABLE_BITS = 1 << 28
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 150_000
 
-_word = Memo(xxhash.xxh3_64_intdigest)
+_word = Memo(xxhash.xxh3_64_intdigest, 400_000)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def _names(buckets: int, window: int):
                 new = np.ones(len(w.name), bool)
                 new[1:] = (w.owner[1:] != w.owner[:-1]) | (w.name[1:] != w.name[:-1])
                 held.append(w.name[new])
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > 1_500_000:
                     yield out()
         if held:
             yield out()
@@ -212,7 +212,7 @@ def _candidates(buckets: int, bits: int, marks, window: int):
                 hit = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 held.append((bucket[hit].astype(np.int32), w.hash[hit], ids[w.doc[hit]], w.at[hit].astype(np.int32)))
-                if sum(len(x[0]) for x in held) > 1_500_000:
+                if sum(len(x[0]) for x in held) > 700_000:
                     yield out()
         if held:
             yield out()
@@ -249,12 +249,12 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     buckets = buckets_for(docs.count())
     bits = TABLE_BITS // buckets
-    names = docs.mapInArrow(_names(buckets, window), "bucket int, names binary")
+    names = docs.mapInArrow(tidied(_names(buckets, window), lambda: [_word]), "bucket int, names binary")
     table = np.zeros((buckets, bits // 8), np.uint8)
     for bucket, marks in names.groupBy("bucket").applyInArrow(_mark(bits), "bucket int, marks binary").toLocalIterator():  # TABLE_BITS in all
         table[bucket] = np.frombuffer(marks, np.uint8)
     marks = spark.sparkContext.broadcast(table.tobytes())
-    return docs.mapInArrow(_candidates(buckets, bits, marks, window), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_repeats, "doc_id long, firsts binary")
+    return docs.mapInArrow(tidied(_candidates(buckets, bits, marks, window), lambda: [_word]), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_repeats, "doc_id long, firsts binary")
 
 
 def _cut(window: int):
@@ -284,7 +284,7 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (kept words joined by one space) of every row of `docs`."""
     found = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list("firsts").alias("firsts"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(found, "doc_id", "left").select("doc_id", "text", "firsts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(found, "doc_id", "left").select("doc_id", "text", "firsts").mapInArrow(tidied(_cut(window)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -312,4 +312,4 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 columns[k] = pa.array([len(t) if r else c for t, r, c in zip(new, done.column("n_removed").to_pylist(), columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.join(found, "doc_id", "left").select(*[F.col(c) for c in names], "firsts").mapInArrow(run, schema)
+    return docs.join(found, "doc_id", "left").select(*[F.col(c) for c in names], "firsts").mapInArrow(tidied(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Memo
+from strandloom.llm.common import Memo, tidied
 
 MARK = "▁"
 LONGEST_KEPT = 48
@@ -53,9 +53,9 @@ class PrefixCounter:
         for piece in self.score:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.beside = Memo(self._beside, 1_000_000)
+        self.beside = Memo(self._beside, 400_000)
         self.alone = Memo(lambda t: self.merged(t, self.score) == [t], 100_000)
-        self.kept = Memo(self.word, 800_000)
+        self.kept = Memo(self.word, 400_000)
         self.run_count = Memo(lambda n: len(self.merged(MARK * n, self.runs)), 100_000)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
@@ -195,4 +195,4 @@ def prefix_counts(docs: DataFrame, budget: int = 4096, model_file: str | None =
                     columns.append(pa.array([t.tobytes() for t in tables], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run, lambda: [counter(file).kept, counter(file).beside]), schema)

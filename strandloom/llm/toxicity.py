@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Memo, stored
+from strandloom.llm.common import Memo, stored, tidied
 
 EXAMPLES_A_CLASS = 2048
 TERMS = 2048
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         df[""] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
 
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # TERMS rows at most
+    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(tidied(frequencies), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # TERMS rows at most
     total = df.pop("", 0)
     index = Index({t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, share)
     vocabulary_set = frozenset(vocabulary)
@@ -218,7 +218,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
-        scores = Memo(ix.score, 100_000)
+        scores = Memo(ix.score, 20_000)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -227,7 +227,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence_ids", "evidence_cosines"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
+    out = rows.mapInArrow(tidied(run), "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines")
 
 
@@ -238,8 +238,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
-        scores = Memo(ix.score, 100_000)
+        scores = Memo(ix.score, 20_000)
         for batch in batches:
             yield batch.filter(pa.array([scores[ix.present(t)][0] < 0.5 for t in batch.column(where).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
