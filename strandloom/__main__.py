@@ -5,12 +5,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from strandloom.config import preset
 from strandloom.operators import alignments
 from strandloom.plans import mapping
-from strandloom.sources import formats
+from strandloom.sources import bam, formats
 
 
 def options() -> argparse.ArgumentParser:
@@ -19,7 +18,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("genomes", help="FASTA files, separated by commas")
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-p", "--preset", type=int, default=1, choices=(0, 1, 2))
-    p.add_argument("-f", "--formats", default="sam", help="any of blocks, sam, separated by commas")
+    p.add_argument("-f", "--formats", default="sam", help="any of blocks, sam, bam, separated by commas")
     return p
 
 
@@ -34,8 +33,10 @@ def main(argv: list[str] | None = None) -> None:
     if "blocks" in kinds:
         found.blocks.write.mode("overwrite").parquet(f"{given.output}/blocks")
     if "sam" in kinds:
-        text = alignments.sam_text(found.lines, reads).withColumn("read_id", F.col("read_id"))
+        text = alignments.sam_text(found.lines, reads)
         formats.write_lines(text, f"{given.output}/sam", ["read_id", "line_id"], alignments.sam_header(genomes, command=" ".join(argv or [])))
+    if "bam" in kinds:
+        bam.write_bam(found.lines, reads, genomes, f"{given.output}/records.bam", alignments.sam_header(genomes, command=" ".join(argv or [])))
 
 
 if __name__ == "__main__":

@@ -382,3 +382,19 @@ define("cigar_error_share", "l_orderkey:l share:d", f"{D_OPS} => SELECT l_orderk
 define("window_extend", "start_id:l ord:l x:l y:l")(
     lambda s, d: gaps.extended(genomes(s, d).select(F.col("gid").alias("start_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("seq").alias("genome"), F.col("seq").alias("read")))
 )
+
+# alignment checks and small predicates
+from strandloom.operators import exact  # noqa: E402
+
+define("exact_alignment", "pair_id:l score:l cigar:s sound:b")(
+    lambda s, d: exact.aligned(genomes(s, d).select(F.col("gid").alias("pair_id"), F.col("seq").alias("a"), S.homopolymer_compressed(F.col("seq")).alias("b"))).select(
+        "pair_id", "score", S.cigar_text(F.col("cigar")).alias("cigar"), exact.sound(F.col("score"), F.col("cigar")).alias("sound")
+    )
+)
+define("colinear_steps", "l_orderkey:l l_linenumber:l colinear:b", f"{D_STEPS} => SELECT l_orderkey, l_linenumber, dx >= 0 AND dy >= 0 AND abs(dx - dy) < 50 AS colinear FROM steps")(lambda s, d: steps(s, d).withColumn("colinear", exact.colinear(F.col("dx"), F.col("dy"))))
+define("band_areas", "l_orderkey:l area:l", "SELECT l_orderkey, sum((2 * l_linenumber + 1) * CAST(floor(l_quantity) AS BIGINT)) AS area FROM lineitem GROUP BY 1")(lambda s, d: exact.band_areas(T(s, d, "lineitem").select("l_orderkey", F.floor("l_quantity").alias("len"), F.col("l_linenumber").alias("width")), ["l_orderkey"]))
+define("diagonal_tiles", "user_id:l ord:l", f"{D_G}, bs AS (SELECT *, first(gx - gy) OVER (PARTITION BY user_id ORDER BY ord) AS base FROM g) => SELECT user_id, ord FROM bs WHERE abs(gx - gy - base) <= 80")(lambda s, d: exact.off_diagonal(gained(s, d).select("user_id", "ord", F.col("gx").alias("x"), F.col("gy").alias("y")), ["user_id"]))
+define("probable_score", "l_orderkey:l l_linenumber:l score:d", f"{D_STEPS}, k AS (SELECT *, {KIND} AS kind, (abs(dx - dy) - 1000.0) / (1000 * sqrt(2.0)) AS z FROM steps), t AS (SELECT *, 1 / (1 + 0.3275911 * abs(z)) AS t FROM k), c AS (SELECT *, (1 + sign(z) * (1 - (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t) * exp(-z * z))) / 2 AS cdf FROM t) => SELECT l_orderkey, l_linenumber, round(100 * (CASE kind WHEN 'inv' THEN 0.5 WHEN 'ins' THEN 0.5 WHEN 'dup' THEN 0.25 WHEN 'del' THEN 0.5 ELSE 1.0 END) * (1 - cdf), 4) AS score FROM c")(
+    lambda s, d: steps(s, d).withColumn("score", exact.probable_score(scores.variant_class(F.col("dx"), F.col("dy"), F.col("same_strand")), F.abs(F.col("dx") - F.col("dy"))))
+)
+define("small_indels", "l_orderkey:l cigar:s")(lambda s, d: cigars(s, d).select("l_orderkey", S.cigar_text(exact.without_small_indels(F.col("cigar"))).alias("cigar")))

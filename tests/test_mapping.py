@@ -210,3 +210,84 @@ def test_lines_are_written_in_order(spark, tmp_path):
     formats.write_lines(rows, str(tmp_path / "sam"), ["k"], ["@HD"])
     assert [r["value"] for r in spark.read.text(str(tmp_path / "sam" / "header")).collect()] == ["@HD"]
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "sam" / "records")).collect()) == [f"v{k:03}" for k in range(200)]
+
+
+def test_command_line_writes_sam_and_bam(spark, tmp_path):
+    import struct
+
+    from strandloom.__main__ import main
+
+    r = np.random.default_rng(4)
+    genome = "".join(r.choice(list("ACGT"), 8000))
+    (tmp_path / "g.fa").write_text(f">chrA x\n{genome}\n")
+    (tmp_path / "r.fq").write_text("".join(f"@r{k}\n{genome[k * 500 : k * 500 + 4000]}\n+\n{'I' * 4000}\n" for k in range(4)))
+    main([str(tmp_path / "r.fq"), str(tmp_path / "g.fa"), "-o", str(tmp_path / "out"), "-f", "blocks,sam,bam"])
+    text = sorted(x["value"] for x in spark.read.text(str(tmp_path / "out" / "sam" / "records")).collect())
+    data = gzip.decompress((tmp_path / "out" / "records.bam").read_bytes())
+    assert data[:4] == b"BAM\1"
+    at = 8 + struct.unpack_from("<i", data, 4)[0]
+    assert struct.unpack_from("<i", data, at)[0] == 1
+    at += 8 + struct.unpack_from("<i", data, at + 4)[0]
+    assert struct.unpack_from("<i", data, at)[0] == 8000
+    at, found = at + 4, []
+    while at < len(data):
+        size, gid, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiiBBHHHi", data, at)
+        found.append((data[at + 36 : at + 35 + n_name].decode(), flag, pos + 1, mapq, n_seq))
+        at += 4 + size
+    assert sorted(found) == sorted((f[0], int(f[1]), int(f[3]), int(f[4]), len(f[9])) for f in (x.split("\t") for x in text)) and len(found) >= 4
+    assert spark.read.parquet(str(tmp_path / "out" / "blocks")).count() >= 4
+
+
+def test_exact_alignment(spark):
+    from strandloom.operators import exact
+
+    r = np.random.default_rng(8)
+
+    def plain_score(a, b):
+        row = [-j for j in range(len(b) + 1)]
+        for i, c in enumerate(a, 1):
+            new = [-i]
+            for j, d in enumerate(b, 1):
+                new.append(max(row[j - 1] + (3 if c == d else -2), row[j] - 1, new[-1] - 1))
+            row = new
+        return row[-1]
+
+    rows = []
+    for k in range(30):
+        a = "".join(r.choice(list("ACGT"), int(r.integers(0, 60))))
+        b = "".join(c for c in a if r.random() > 0.1) + "".join(r.choice(list("ACGT"), 3))
+        rows.append((k, a, b))
+    for q in exact.aligned(spark.createDataFrame(rows, "pair_id int, a string, b string")).collect():
+        _, a, b = rows[q["pair_id"]]
+        assert q["score"] == plain_score(a, b) == composition.banded_score(a, b, 48)
+        total = {o: sum(e["n"] for e in q["cigar"] if e["op"] == o) for o in "=XID"}
+        assert total["="] + total["X"] + total["D"] == len(a) and total["="] + total["X"] + total["I"] == len(b)
+        assert q["score"] == 3 * total["="] - 2 * total["X"] - total["I"] - total["D"]
+    cigar = "array(struct('=' as op, 5L as n), struct('D' as op, 3L as n), struct('=' as op, 2L as n), struct('I' as op, 40L as n))"
+    row = spark.range(1).select(S.cigar_text(exact.without_small_indels(F.expr(cigar))).alias("c"), exact.sound(F.lit(20), F.expr(cigar)).alias("s")).first()
+    assert (row["c"], row["s"]) == ("10=40I", False)
+
+
+def test_gap_tiles_fill_a_gap(spark):
+    from strandloom.operators import gaps
+
+    r = np.random.default_rng(3)
+    genome = "".join(r.choice(list("ACGT"), 3000))
+    reads = spark.createDataFrame([(1, "r", genome[200:2700])], "read_id long, name string, seq string")
+    genomes = spark.createDataFrame([(1, "g", genome)], "gid int, name string, seq string")
+    table = spark.createDataFrame([(1, 1, 0, 0, 1000, 200, 1200, 9), (1, 1, 0, 1600, 2400, 1800, 2600, 9)], "read_id long, gid int, strand int, ystart long, yend long, xstart long, xend long, n_anchors long")
+    kinds = {(g["kind"], g["x_lo"], g["x_hi"], g["y_lo"], g["y_hi"]) for g in gaps.gap_table(table, reads).collect()}
+    assert kinds == {("inner", 1200, 1800, 1000, 1600), ("tail", 2600, 2700, 2400, 2500)}
+    points = table.select("read_id", "gid", "strand", F.col("xstart").alias("x"), F.col("ystart").alias("y"))
+    tiles = [t for t in gaps.remapped(table, points, reads, genomes).collect() if t["from_gap"]]
+    assert len(tiles) > 60 and all(t["x"] - t["y"] == 200 for t in tiles)
+
+
+def test_windows_extend_along_the_diagonal(spark):
+    from strandloom.operators import gaps
+
+    r = np.random.default_rng(6)
+    genome = "".join(r.choice(list("ACGT"), 3000))
+    read = genome[160:1760] + "".join(r.choice(list("ACGT"), 800))
+    found = gaps.extended(spark.createDataFrame([(1, 160, 0, genome, read), (2, 0, 0, "", ""), (3, 0, 0, None, "A")], "start_id long, x long, y long, genome string, read string")).collect()
+    assert {f["start_id"] for f in found} == {1} and all(f["x"] - f["y"] == 160 for f in found) and max(f["y"] for f in found) >= 1500
