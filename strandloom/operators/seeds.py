@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.config import IndexParams, ProbeParams
@@ -10,9 +14,11 @@ from strandloom.functions import sequences as S
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` dealt evenly to all cores if its scan has fewer parts than that; what follows makes many rows of each."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """`df` dealt evenly to all cores if it comes straight from a scan with fewer parts than that; what follows makes many rows of each."""
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().nodeName().startswith("Adaptive"):  # it has a shuffle already, and counting its parts would run it
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def kmer_rows(seqs: DataFrame, seq_id: str, k: int, step: int = 1) -> DataFrame:
@@ -32,30 +38,77 @@ def kmer_counts(seqs: DataFrame, seq_id: str, k: int) -> DataFrame:
     return kmer_rows(seqs, seq_id, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-def extension_bits(bases: Column) -> Column:
-    """Four bases as 8 bits, short ones filled with A."""
-    digit = lambda i: F.instr(F.lit(S.BASES), F.substr(F.rpad(bases, 4, "A"), F.lit(i), F.lit(1))) - 1
-    return digit(1) * 64 + digit(2) * 16 + digit(3) * 4 + digit(4)
-
+PIECE = 1 << 20  # bases at a time
+_ORDINAL = np.full(256, -1, np.int64)
+_ORDINAL[np.frombuffer(S.BASES.encode(), np.uint8)] = np.arange(4)
 
-def seed_rows(seqs: DataFrame, seq_id: str, step: int, params: IndexParams = IndexParams()) -> DataFrame:
-    """seq_id, pos, strand (0 if the canonical strand is the forward one), minimizer, ext of every `step`-th span."""
-    rows = kmer_rows(seqs, seq_id, params.span, step)
-    rows = rows.select("seq_id", "pos", S.is_forward(F.col("kmer")).alias("forward"), S.canonical(F.col("kmer")).alias("canon"))
-    windows = params.span - params.weight + 1
-    rows = rows.withColumns({"minimizer": S.minimizer(F.col("canon"), params.weight, windows), "at": S.minimizer_at(F.col("canon"), params.weight, windows)})
-    ext = extension_bits(S.extension(F.col("canon"), F.col("at"), params.weight))
-    return rows.select("seq_id", "pos", F.when(F.col("forward"), 0).otherwise(1).alias("strand"), "minimizer", ext.alias("ext"))
 
+def spans(seq: bytes, step: int, params: IndexParams) -> tuple[np.ndarray, ...]:
+    """Place, strand (0 if the canonical one is forward), minimizer and extension of every `step`-th span without N, all as arrays.
 
-def without_repeats(seeds: DataFrame, min_gap: int | None = None) -> DataFrame:
-    """Drops a seed whose minimizer is that of the seed before it in its sequence, unless that is more than `min_gap` away."""
-    order = Window.partitionBy("seq_id").orderBy("pos")
-    before = F.lag("minimizer").over(order)
-    new = before.isNull() | (before != F.col("minimizer"))
-    if min_gap is not None:
-        new = new | (F.col("pos") - F.lag("pos").over(order) > min_gap)
-    return seeds.withColumn("new", new).where("new").drop("new")
+    The numbers are those of `sequences.minimizer` and `sequences.extension`: words of the canonical strand as 2-bit numbers, the leftmost least one, and the four
+    bases after it within the span (A where it ends) as 8 bits.
+    """
+    base = _ORDINAL[np.frombuffer(seq, np.uint8)]
+    n, k = params.span, params.weight
+    at = np.arange(0, len(base) - n + 1, step)
+    odd = np.concatenate([[0], np.cumsum(base < 0)])
+    at = at[odd[at + n] == odd[at]]
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 4
+    base = np.maximum(base, 0)
+    words = len(base) - k + 1
+    forward, backward = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    for i in range(k):
+        forward |= base[i : i + words] << 2 * (k - 1 - i)
+        backward |= (3 - base[i : i + words]) << 2 * i
+    sums = np.concatenate([[0], np.cumsum(2 * base - 3)])
+    reverse = sums[at + n] - sums[at] <= 0
+    places = at[:, None] + np.arange(n - k + 1)
+    each = np.where(reverse[:, None], backward[places][:, ::-1], forward[places])
+    first = each.argmin(1)
+    ext = np.zeros(len(at), np.int64)
+    for i in range(4):
+        off = first + k + i
+        inside = off < n
+        p = np.where(inside, np.where(reverse, at + n - 1 - off, at + off), at)
+        ext = ext << 2 | np.where(inside, np.where(reverse, 3 - base[p], base[p]), 0)
+    return at, reverse.astype(np.int64), each[np.arange(len(at)), first], ext
+
+
+def seed_rows(seqs: DataFrame, seq_id: str, step: int, params: IndexParams = IndexParams(), new_only: bool = False, min_gap: int | None = None) -> DataFrame:
+    """seq_id, pos, strand, minimizer (2-bit number), ext, len of every `step`-th span.
+
+    new_only drops a seed whose minimizer is that of the seed before it in its sequence, unless that is more than `min_gap` away. An Arrow kernel, so this needs no shuffle;
+    long sequences are read in pieces.
+    """
+    piece = max(1, PIECE // step) * step
+    schema = "seq_id long, pos long, strand int, minimizer long, ext int, len long"
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
+            for i, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                last, last_at = -1, 0
+                for begin in range(0, len(seq or b""), piece):
+                    at, strand, word, ext = spans(seq[begin : begin + piece + params.span - 1], step, params)
+                    if not len(at):
+                        continue
+                    at = at + begin
+                    if new_only:
+                        before, before_at = np.append(last, word[:-1]), np.append(last_at, at[:-1])
+                        last, last_at = int(word[-1]), int(at[-1])
+                        keep = (word != before) | ((at - before_at > min_gap) if min_gap is not None else False)
+                        at, strand, word, ext = at[keep], strand[keep], word[keep], ext[keep]
+                    held.append((np.full(len(at), i), at, strand, word, ext, np.full(len(at), len(seq))))
+                if sum(len(h[0]) for h in held) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], schema.replace(",", "").split()[::2])
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], schema.replace(",", "").split()[::2])
+
+    return spread(seqs.select(F.col(seq_id).cast("long").alias("seq_id"), F.col("seq").cast("binary").alias("b"))).mapInArrow(run, schema)
 
 
 def capped(seeds: DataFrame, cap: int) -> DataFrame:
@@ -66,16 +119,15 @@ def capped(seeds: DataFrame, cap: int) -> DataFrame:
 
 def genome_index(genomes: DataFrame, params: IndexParams = IndexParams()) -> DataFrame:
     """gid, x, strand, minimizer, ext: the sampled, capped index."""
-    seeds = without_repeats(seed_rows(genomes, "gid", params.step, params), params.min_repeat_gap)
-    return capped(seeds, params.cap).select(F.col("seq_id").alias("gid"), F.col("pos").alias("x"), "strand", "minimizer", "ext")
+    found = seed_rows(genomes, "gid", params.step, params, new_only=True, min_gap=params.min_repeat_gap)
+    return capped(found, params.cap).select(F.col("seq_id").cast("int").alias("gid"), F.col("pos").alias("x"), "strand", "minimizer", "ext")
 
 
 def read_probes(reads: DataFrame, params: ProbeParams = ProbeParams(), index: IndexParams = IndexParams(), retry: bool = False) -> DataFrame:
     """read_id, y, strand, minimizer, ext, len of the probes of reads longer than `min_read`."""
     long = reads.where(F.length("seq") > params.min_read)
-    seeds = without_repeats(seed_rows(long, "read_id", params.alpha_retry if retry else params.alpha, index))
-    lengths = long.select(F.col("read_id").alias("seq_id"), F.length("seq").alias("len"))
-    return seeds.join(lengths, "seq_id").select(F.col("seq_id").alias("read_id"), F.col("pos").alias("y"), "strand", "minimizer", "ext", "len")
+    found = seed_rows(long, "read_id", params.alpha_retry if retry else params.alpha, index, new_only=True)
+    return found.select(F.col("seq_id").alias("read_id"), F.col("pos").alias("y"), "strand", "minimizer", "ext", "len")
 
 
 def index_statistics(seeds: DataFrame) -> DataFrame:

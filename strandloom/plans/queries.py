@@ -130,6 +130,11 @@ LEAST = 2  # these genomes are short: bins with more than 2 anchors
 D_BINNED = f"{D_ANCHORS}, binned AS (SELECT *, floor((diag + 1048576) / 30000) AS bin FROM anchors), counted AS (SELECT *, count(*) OVER (PARTITION BY read_id, gid, strand, bin) AS n_bin FROM binned), best AS (SELECT *, max(n_bin) OVER (PARTITION BY read_id) AS best FROM counted), kept AS (SELECT * FROM best WHERE n_bin > {LEAST} OR best <= {LEAST})"
 
 
+def shown(df: DataFrame) -> DataFrame:
+    """Minimizers as words."""
+    return df.withColumn("minimizer", S.unpack(F.col("minimizer"), 13))
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.genome_index(genomes(spark, sf_dir))
 
@@ -173,10 +178,10 @@ define("translate_frames", "gid:l f0:s f1:s f3:s f5:s", f"{D_GENOMES} => SELECT
 )
 
 # seeds and joins
-define("minimizer", "seq_id:l pos:l strand:l minimizer:s ext:l", f"{D_GENOMES} => SELECT * FROM {d_seeds('genomes', 'gid', 9)}")(lambda s, d: seeds.seed_rows(genomes(s, d), "gid", 9))
-define("read_probes", "read_id:l y:l strand:l minimizer:s ext:l len:l", f"{D_READS}, {D_PROBES} => SELECT * FROM probes")(lambda s, d: seeds.read_probes(reads(s, d)))
-define("genome_index", "gid:l x:l strand:l minimizer:s ext:l", f"{D_GENOMES}, {D_INDEX} => SELECT * FROM gindex")(index)
-define("kmer_freq_cap", "seq_id:l pos:l minimizer:s", f"{D_READS}, seeds AS (SELECT * FROM {d_seeds('reads', 'read_id', 8)}) => SELECT seq_id, pos, minimizer FROM seeds WHERE minimizer IN (SELECT minimizer FROM seeds GROUP BY 1 HAVING count(*) <= 4)")(lambda s, d: seeds.capped(seeds.seed_rows(reads(s, d), "read_id", 8), 4))
+define("minimizer", "seq_id:l pos:l strand:l minimizer:s ext:l", f"{D_GENOMES} => SELECT * FROM {d_seeds('genomes', 'gid', 9)}")(lambda s, d: shown(seeds.seed_rows(genomes(s, d), "gid", 9)))
+define("read_probes", "read_id:l y:l strand:l minimizer:s ext:l len:l", f"{D_READS}, {D_PROBES} => SELECT * FROM probes")(lambda s, d: shown(seeds.read_probes(reads(s, d))))
+define("genome_index", "gid:l x:l strand:l minimizer:s ext:l", f"{D_GENOMES}, {D_INDEX} => SELECT * FROM gindex")(lambda s, d: shown(index(s, d)))
+define("kmer_freq_cap", "seq_id:l pos:l minimizer:s", f"{D_READS}, seeds AS (SELECT * FROM {d_seeds('reads', 'read_id', 8)}) => SELECT seq_id, pos, minimizer FROM seeds WHERE minimizer IN (SELECT minimizer FROM seeds GROUP BY 1 HAVING count(*) <= 4)")(lambda s, d: shown(seeds.capped(seeds.seed_rows(reads(s, d), "read_id", 8), 4)))
 define("index_statistics", "n:l blocks:l", f"{D_READS} => SELECT n, count(*) AS blocks FROM (SELECT minimizer, count(*) AS n FROM {d_seeds('reads', 'read_id', 9)} GROUP BY 1) GROUP BY 1")(lambda s, d: seeds.index_statistics(seeds.seed_rows(reads(s, d), "read_id", 9)))
 define("anchor_join", "read_id:l gid:l strand:l x:l y:l diag:l", f"{D_ANCHORS} => SELECT * FROM anchors")(found)
 define("anchor_hindex", "read_id:l gid:l strand:l x:l y:l diag:l", ",\n".join([D_READS, D_GENOMES, D_INDEX, D_PROBES, d_anchors("ext_g = ext_r OR ext_g = 0")]) + " => SELECT * FROM anchors")(lambda s, d: found(s, d, "h"))
@@ -342,7 +347,7 @@ from strandloom.config import IndexParams  # noqa: E402
 from strandloom.operators import gaps  # noqa: E402
 
 define("index_span_21_cap_200", "gid:l x:l strand:l minimizer:s ext:l", f"{D_GENOMES}, s AS (SELECT *, lag(minimizer) OVER w AS lm, lag(pos) OVER w AS lp FROM {d_seeds('genomes', 'gid', 8)} WINDOW w AS (PARTITION BY seq_id ORDER BY pos)), n AS (SELECT * FROM s WHERE lm IS NULL OR lm <> minimizer OR pos - lp > 10) => SELECT seq_id AS gid, pos AS x, strand, minimizer, ext FROM n WHERE minimizer IN (SELECT minimizer FROM n GROUP BY 1 HAVING count(*) <= 200)")(
-    lambda s, d: seeds.genome_index(genomes(s, d), IndexParams(step=8, cap=200))
+    lambda s, d: shown(seeds.genome_index(genomes(s, d), IndexParams(step=8, cap=200)))
 )
 define("index_span_17_cap_1024", "gid:l x:l strand:l minimizer:s ext:l")(lambda s, d: seeds.genome_index(genomes(s, d), IndexParams(span=17, weight=9, step=8, cap=1024)))
 
