@@ -15,7 +15,7 @@ Equal vectors are one class: only classes are compared, weighted by their size.
 bounded size; a block emits a count and a forest of links, never pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components get n_links 0 and are their own component;
-so do vectors whose length differs from the commonest's; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
+so do vectors whose length differs from the commonest's, and rows with a null vec_id; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,13 +134,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float =
     """vec_id, n_links, component_id, kept of every row of `vectors`."""
     spark = vectors.sparkSession
     rows = stored(valid_vectors(vectors), "vectors")
-    common = rows.where("key is not null").groupBy("width").count().orderBy(F.desc("count"), "width").first()
+    common = rows.where("key is not null and vec_id is not null").groupBy("width").count().orderBy(F.desc("count"), "width").first()
     alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if common is None:
         return alone(rows)
     kind = _kind(vectors)
     width = common["width"] // kind.itemsize
-    usable = F.col("key").isNotNull() & (F.col("width") == common["width"])
+    usable = F.col("key").isNotNull() & F.col("vec_id").isNotNull() & (F.col("width") == common["width"])
     classes = stored(rows.where(usable).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     total = classes.count()
     sample = classes.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()["key"]

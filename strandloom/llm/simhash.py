@@ -9,7 +9,7 @@ compared with all that came; a pair is seen once from each side and no pair is l
 Only distinct fingerprints are compared. Each block emits a forest of its links, never all pairs; connected components of the
 forests are the same as of all links.
 
-Defined results: null text counts as empty; no words give fingerprint 0, linked like any other; fewer words than a shingle give
+Defined results: null text counts as empty; a null doc_id is no component's smallest (a component of such rows alone has none); no words give fingerprint 0, linked like any other; fewer words than a shingle give
 the one shingle of all words; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -238,6 +238,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> Da
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
-    """Rows of `docs` whose doc_id is the smallest of its component, repeated rows of that id all stay; columns unchanged."""
+    """Rows of `docs` whose doc_id is the smallest of its component, and those with a null doc_id; repeated rows of an id all stay; columns unchanged."""
     kept = near_duplicates(docs, shingle, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -15,7 +15,7 @@ window's owner.
    all documents reaches its bucket once a batch, and no group holds all its occurrences.
 3. The positions come back to the documents by doc_id, and covered words go.
 
-Defined results: null text has no words; rows of one doc_id lose what any
+Defined results: null text has no words; rows with a null doc_id lose nothing and nothing is a repeat of them; rows of one doc_id lose what any
 of them loses; texts of fewer than `window` words lose nothing; an empty table gives an empty result.
 """
 
@@ -246,7 +246,7 @@ def _repeats(t: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, firsts): packed first words (32-bit) of windows whose words also start earlier; several rows a document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     buckets = buckets_for(docs.count())
     bits = TABLE_BITS // buckets
     names = docs.mapInArrow(tidied(_names(buckets, window), lambda: [_word]), "bucket int, names binary")
@@ -293,7 +293,7 @@ def digests(docs: DataFrame, window: int = 20) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """`docs` with repeated passages cut out of `text` (texts that lose nothing stay as they are) and n_chars brought up to date; rows and columns unchanged."""
-    found = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list("firsts").alias("firsts"))
+    found = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list("firsts").alias("_strandloom_firsts"))
     names, schema = docs.columns, docs.schema
     where = names.index("text")
 
@@ -312,4 +312,4 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 columns[k] = pa.array([len(t) if r else c for t, r, c in zip(new, done.column("n_removed").to_pylist(), columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.join(found, "doc_id", "left").select(*[F.col(c) for c in names], "firsts").mapInArrow(tidied(run), schema)
+    return docs.join(found, "doc_id", "left").select(*[F.col(c) for c in names], "_strandloom_firsts").mapInArrow(tidied(run), schema)

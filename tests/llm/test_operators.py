@@ -41,6 +41,22 @@ def none(docs):
     return docs.where("doc_id < 0")
 
 
+def test_null_ids_pass_through(spark, texts):
+    from strandloom.llm import bpe, decontam, embeddings, sharding, simhash, substring, token_counts, toxicity
+
+    table = spark.createDataFrame([(1, texts[0], None, None, None), (None, texts[0], None, None, None), (None, None, None, None, None)], DOCS).withColumn("firsts", F.lit(1))
+    assert simhash.near_duplicates(table).count() == 3 and simhash.keep_one_of_each(table).count() == 3
+    assert sorted(r["n_removed"] for r in substring.digests(table).collect()) == [0, 0, 0]
+    assert substring.remove_repeats(table).columns == table.columns and substring.remove_repeats(table).count() == 3
+    bench = spark.createDataFrame([(None, texts[1]), (5, None)], "item_id long, text string")
+    assert decontam.without_repeats(table, bench).count() == 3
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(table, labels).count() == 3 and toxicity.without_toxic(table, labels).count() == 3
+    assert bpe.digests(table).count() == token_counts.prefix_counts(table).count() == sharding.byte_shards(table).count() == 3
+    vectors = spark.createDataFrame([(None, [1.0, 2.0]), (None, None), (3, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert {(r["vec_id"], r["n_links"]) for r in embeddings.near_duplicates(vectors).collect()} == {(None, 0), (3, 0)}
+
+
 def components(n, links):
     up = list(range(n))
 
