@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="strandloom-")
+        folder = tempfile.mkdtemp(prefix="strandloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
