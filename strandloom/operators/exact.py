@@ -15,7 +15,7 @@ MATCH, MISMATCH, GAP, BAND = 3, -2, -1, 48
 def banded(a: str, b: str, band: int = BAND) -> tuple[int, list[tuple[str, int]]]:
     """Score and CIGAR (operations on a as the genome: D is a base of a alone, I one of b) of the global alignment within `band` of the diagonal.
 
-    Rows are arrays; gaps along a row are a running maximum. Of equal ways a step in both comes first, then D, then I. Memory is len(a) x len(b) / 4 bytes at most.
+    Rows are arrays; gaps along a row are a running maximum. Of equal ways a step in both comes first, then D, then I. Memory is len(a) x len(b) bytes.
     """
     n, m = len(a), len(b)
     band = max(band, abs(n - m))
