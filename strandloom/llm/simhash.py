@@ -200,8 +200,9 @@ def _compare(threshold: int):
 
             step = max(1, 2_000_000 // len(every))
             for i in range(0, len(homes), step):
-                near = np.bitwise_count(homes[i : i + step, None] ^ every[None, :]) <= threshold
-                for k in np.flatnonzero(near.sum(1) > 1).tolist():
+                apart = np.bitwise_count(homes[i : i + step, None] ^ every[None, :])
+                near = (apart <= threshold) & (apart > 0)  # a resident's own copy may have been dealt to another block
+                for k in np.flatnonzero(near.any(1)).tolist():
                     x, ys = int(homes[i + k]), every[near[k]].tolist()
                     a = root(x)
                     for y in ys:

@@ -106,6 +106,20 @@ def test_simhash_links_by_bits(spark):
     assert components(len(fps), pairs) == components(len(fps), links)
 
 
+def test_simhash_links_of_crowded_anchors(spark, monkeypatch):
+    from strandloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "RESIDENTS", 3)
+    monkeypatch.setattr(simhash, "VISITORS", 5)
+    r = np.random.default_rng(4)
+    one, two = r.integers(0, 2**63, 2, dtype=np.uint64)  # the high half of each pair is the same, so anchors are crowded
+    fps = np.unique(np.concatenate([[x ^ np.uint64(k << 40), x ^ np.uint64(k << 40) ^ np.uint64(0b111 << s)] for x in (one, two) for k, s in zip(r.integers(0, 2**23, 150).tolist(), r.integers(0, 37, 150).tolist())]).astype(np.uint64))
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3]
+    found = simhash.links_forest(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")).collect()
+    where = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    assert len(links) >= 300 and components(len(fps), [(where[a["u"]], where[a["v"]]) for a in found]) == components(len(fps), links)
+
+
 def test_components_of_chains_and_stars(spark):
     from strandloom.llm.components import connected_components
 
