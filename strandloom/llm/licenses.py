@@ -1,10 +1,13 @@
 """Licence recognition by sentence rules. DataFrame functions only.
 
-A text is cut into sentences, each sentence is normalised (lower case, runs of anything but letters and digits to one space) and
-looked up among known licence sentences; a text's sentences become a sequence of identifiers, with a gap for unknown ones. Rules are sequences of
+A text is cut at sentence ends and line breaks, its parts are normalised (lower case, runs of anything but letters and digits to one space) and
+known licence sentences are found among them. A known sentence begins and ends at such cuts and may run over any number of line breaks and blank lines
+(licence files are wrapped, also behind comment marks), never over a sentence end; the longest of those that begin at one place counts. A text's sentences become a sequence of identifiers, with a gap for unknown ones. Rules are sequences of
 identifiers that must follow one another; they are tried in order, a longer rule before those it contains, and what a rule has matched no
 later rule can use.
 
+The SQL twin takes each line on its own, so it agrees on texts whose licence sentences aren't wrapped.
+
 Each known sentence holds one of TRIGGERS, so texts without any are passed by without being cut.
 
 Defined results: null and empty texts, and texts without known sentences, give no rows; repeated rows each get their rows; an empty table gives an empty
@@ -16,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRIGGERS = r"(?i)licen[cs]e|copyright|redistribut|permission|warrant|all rights|public domain|as is"
+TRIGGERS = r"(?i)licen[cs]e|copyright|redistribut|permission|warrant|all[^a-z0-9]+rights|public[^a-z0-9]+domain|as[^a-z0-9]+is"
 
 # Known licence sentences, normalised; {v} and {k} stand for the versions and kinds below.
 SENTENCES = {
     "apache-ref-{v}": "licensed under the apache license version {v}",
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache-use": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
@@ -31,43 +35,69 @@ SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-asis": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mit-liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "gpl-ref-{g}": "this work is licensed under the gnu general public license version {g}",
     "gpl-free-{g}": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {g} of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "cc-{k}-{c}": "licensed under cc {k} {c}",
     "cc-work-{k}-{c}": "this work is licensed under cc {k} {c}",
     "bsd-form": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "rights": "all rights reserved",
     "public-domain": "this work is in the public domain",
 }
+# Other published wordings of the same sentences.
+OTHER_WORDINGS = {
+    "apache-header": ("the asf licenses this file to you under the apache license version 2 0 the license you may not use this file except in compliance with the license",),
+    "apache-copy": ("you may obtain a copy of the license at https www apache org licenses license 2 0",),
+    "mit-title": ("the mit license mit", "mit license", "mit license mit"),
+    "mit-notice": ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",),
+    "bsd-names": ("neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "isc-grant": ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "cc-work-{k}-{c}": ("this work is licensed under a creative commons {long} {c} {port} license", "this work is licensed under the creative commons {long} {c} {port} license"),
+}
+PORTS = {"1 0": "generic", "2 0": "generic", "2 5": "generic", "3 0": "unported", "4 0": "international"}
+KINDS = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
 VERSIONS = {"v": ("1 0", "1 1", "2 0"), "g": ("1", "2", "3"), "k": ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), "c": ("1 0", "2 0", "2 5", "3 0", "4 0")}
 
 
 def known_sentences() -> dict[str, str]:
     """Normalised sentence: identifier, with all versions filled in."""
     out = {}
-    for name, sentence in SENTENCES.items():
+    for name, sentence in [*SENTENCES.items(), *((n, s) for n, other in OTHER_WORDINGS.items() for s in other if "{" not in s)]:
         forms = [(name, sentence)]
         for key, values in VERSIONS.items():
             if "{" + key + "}" in sentence:
                 forms = [(n.replace("{" + key + "}", v.replace(" ", ".") if key in "vgc" else v.replace(" ", "-")), s.replace("{" + key + "}", v)) for n, s in forms for v in values]
         out |= {s: n for n, s in forms}
+    for name, other in OTHER_WORDINGS.items():
+        for sentence in (s for s in other if "{" in s):
+            for k in VERSIONS["k"]:
+                for c in VERSIONS["c"]:
+                    full = sentence.format(long=" ".join(KINDS[x] for x in k.split()), c=c, port=PORTS[c])
+                    out[full] = name.format(k=k.replace(" ", "-"), c=c.replace(" ", "."))
     return out
 
 
 def rules() -> list[tuple[str, tuple[str, ...]]]:
     """(licence, identifiers that follow one another), in the order they are tried."""
-    names = list(known_sentences().values())
+    names = list(dict.fromkeys(known_sentences().values()))
+    mit = ("mit-grant", "mit-notice", "mit-asis", "mit-liable")
     out = [
+        ("Apache-2.0", ("apache-header", "apache-copy", "apache-basis", "apache-see")),
+        *(("MIT", (*title, *mit[:n])) for n in (4, 3, 2) for title in (("mit-title", "-"), ("mit-title",), ())),
+        *(("BSD-3-Clause", seq) for seq in (("bsd-form", "-", "bsd-source", "-", "bsd-binary", "-", "bsd-names"), ("bsd-form", "bsd-source", "bsd-binary", "bsd-names"))),
+        *(("BSD-2-Clause", seq) for seq in (("bsd-form", "-", "bsd-source", "-", "bsd-binary"), ("bsd-form", "bsd-source", "bsd-binary"))),
         ("Apache-2.0", ("apache-ref-2.0", "apache-use", "apache-copy", "apache-basis", "apache-see")),
-        ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-asis")),
-        ("MIT", ("mit-grant", "mit-notice", "mit-asis")),
-        ("MIT", ("mit-grant", "mit-notice")),
         *((f"GPL-{g}.0-or-later", (f"gpl-free-{g}", "gpl-hope")) for g in VERSIONS["g"]),
         *((f"Apache-{v.replace(' ', '.')}", (f"apache-ref-{v.replace(' ', '.')}",)) for v in VERSIONS["v"]),
+        ("Apache-2.0", ("apache-header",)),
         ("MIT", ("mit-ref",)),
         ("MIT", ("mit-ref-2",)),
+        ("MIT", ("mit-title",)),
         *((f"GPL-{g}.0-only", (f"gpl-ref-{g}",)) for g in VERSIONS["g"]),
         *((f"GPL-{g}.0-or-later", (f"gpl-free-{g}",)) for g in VERSIONS["g"]),
         *(("CC-" + n.removeprefix("cc-").removeprefix("work-").upper(), (n,)) for n in names if n.startswith("cc-")),
@@ -80,11 +110,17 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
 
 
 def sentence_identifiers(text: Column) -> Column:
-    """Identifiers of a text's sentences, null for unknown ones."""
-    lines = F.split(F.regexp_replace(text, "([.!?])[ \t\f]+", "$1\n"), "[\r\n]+")
-    plain = lambda s: F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    return F.transform(F.filter(F.transform(lines, plain), lambda s: s != ""), lambda s: F.try_element_at(known, s))
+    """Identifiers of a text's known sentences in order, null for each stretch of unknown ones."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    # \x01 is a sentence end, \x02 a line break, \x03 encloses what is known
+    plain = F.translate(text, upper + "\x01\x02\x03", lower + ",,,")
+    for found, by in (("[.!?][ \t\f]*[ \t\f\r\n]", "\x01"), ("[\r\n]+", "\x02"), ("[^a-z0-9\x01\x02]+", " "), (" ?\x01 ?", "\x01"), (" ?\x02[ \x02]*", "\x02")):
+        plain = F.regexp_replace(plain, found, by)
+    known = sorted(known_sentences(), key=lambda s: (-len(s), s))
+    any_known = "|".join(s.replace(" ", "[ \x02]") for s in known)
+    parts = F.split(F.regexp_replace(F.trim(plain), f"(?<![^\x01\x02])(?:{any_known})(?![^\x01\x02])", "\x03$0\x03"), "\x03")
+    names = F.create_map(*[F.lit(x) for s in known for x in (s, known_sentences()[s])])
+    return F.transform(F.filter(parts, lambda s: s.rlike("[a-z0-9]")), lambda s: F.try_element_at(names, F.translate(s, "\x02", " ")))
 
 
 def recognised(docs: DataFrame) -> DataFrame:

@@ -232,6 +232,23 @@ def test_license_rules(spark, docs, none):
     assert recognised(docs).count() == 0 and recognised(none).count() == 0
 
 
+def test_wrapped_license_texts(spark):
+    import textwrap
+
+    from strandloom.llm.licenses import recognised
+
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License."""
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+    mit = "\n\n".join(["MIT License", "Copyright (c) 2020 Someone", textwrap.fill(grant, 70), textwrap.fill("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 70), textwrap.fill('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', 70)])
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    cc = "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."
+    cases = [apache, "".join(f" * {x}\r\n" for x in apache.split("\n")), mit, bsd, gpl, cc, "All\nrights\nreserved.", "The MIT License", "All rights.\nReserved.", "x\nLicensed under\n\nthe MIT license\ny", "we said all rights reserved"]
+    found = recognised(spark.createDataFrame(rows(cases), DOCS)).collect()
+    assert {(r["doc_id"], r["licence"], r["n_matches"]) for r in found} == {(0, "Apache-2.0", 1), (1, "Apache-2.0", 1), (2, "MIT", 1), (3, "BSD-2-Clause", 1), (4, "GPL-3.0-or-later", 1), (5, "CC-BY-SA-4.0", 1), (6, "All-Rights-Reserved", 1), (7, "MIT", 1), (9, "MIT", 1)}
+    assert {r["doc_id"]: r["identifiers"] for r in found}[9] == "->mit-ref-2>-"
+
+
 class Article(html.parser.HTMLParser):
     """A plain reading of well-formed pages."""
 
