@@ -1,8 +1,10 @@
 """Main text of web pages by consensus paths of each host.
 
-1. Each page's containers (article, div, section ...) are scored by the text of their blocks, less the share that stands in
-   links; a block counts in full for its nearest container and half as much for each next one outward. The page votes for the best container's
-   generalised path: tags with their classes, digits replaced by #.
+1. Each page's containers (article, div, section ...) are measured by the text of all blocks in them, less the share that stands in
+   links. The search begins at the article, else the main element, that holds half of the page's text or more, else at the whole page. It goes
+   inward while one child holds nearly all of that text (INNER_SHARE), or while links are the larger part and one child holds half; it stops where the text
+   is spread over several children, so none of them is dropped, and at an article. The page votes for the generalised path found: tags with
+   their classes, digits replaced by #.
 2. Votes are summed per host in Spark (each batch of pages sums its own first). A host's winners are all paths that get
    VOTE_SHARE of its votes or more, best first: 1 / VOTE_SHARE of them at most.
 3. Each page is read again with its host's winners: the first that occurs in the page gives the text, or, if none does, the page's own best.
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOTE_SHARE = 0.02
+INNER_SHARE = 0.9
 
 # Tags by what they are, and words in class, id or role that mark what isn't main text.
 CONTAINERS = frozenset("html body main article section div aside nav header footer form ul ol dl table tbody tr td th menu dialog details figure blockquote fieldset center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption caption hr legend summary thead tfoot title option".split())
+WITHIN_TEXT = frozenset("ul ol dl blockquote figure details".split())  # parts of a text, never the whole of it
 LEFT_OUT = frozenset("head nav footer aside form menu dialog button select object video audio map".split())
 RAW = frozenset("script style noscript template textarea iframe svg math canvas xmp noframes noembed title".split())
 VOID = frozenset("br hr img input meta link area base col embed param source track wbr".split())
@@ -54,6 +58,7 @@ class Page:
         self._in_links = 0
         self._stack: list[tuple[str, str, bool]] = []  # tag, path, left out
         self._links = 0
+        self._tags: dict[str, str] = {}  # of each path
         if html:
             self._read(html)
 
@@ -120,16 +125,30 @@ class Page:
                 words.update(WORDS.split(value))
         hidden = hidden or tag in LEFT_OUT or bool(words & LEFT_OUT_WORDS and tag not in ("html", "body")) or (tag == "header" and "/article" not in outer)
         self._stack.append((tag, f"{outer}/{name}", hidden))
+        self._tags[f"{outer}/{name}"] = tag
 
     def best(self) -> str:
-        """Path of the container with the highest score; the outermost, then first of equals."""
-        scores: dict[str, float] = {}
+        """Path of the innermost container that still holds the page's main text; '' is the whole page."""
+        own: Counter = Counter()  # characters outside links
+        every: Counter = Counter()
+        inner: dict[str, dict[str, None]] = {}
         for text, links, chain in self.blocks:
-            value = len(text) - links
-            for path in reversed(chain):
-                scores[path] = scores.get(path, 0.0) + value
-                value /= 2
-        return min(scores, key=lambda p: (-scores[p], len(p), p)) if scores else ""
+            outer = ""
+            for path in ("", *chain):
+                own[path] += len(text) - links
+                every[path] += len(text)
+                if path:
+                    inner.setdefault(outer, {})[path] = None
+                outer = path
+        most = lambda paths: min(paths, key=lambda p: (-own[p], len(p), p), default="")
+        half = [p for p in own if p and 2 * own[p] >= own[""]]
+        path = most(p for p in half if self._tags[p] == "article") or most(p for p in half if self._tags[p] == "main")
+        while self._tags.get(path) != "article":
+            child = most(p for p in inner.get(path, ()) if self._tags[p] not in WITHIN_TEXT)
+            if not child or own[child] < (0.5 if 2 * own[path] < every[path] else INNER_SHARE) * own[path]:
+                break
+            path = child
+        return path
 
     def text(self, winners: list[str]) -> str:
         found = {p for _, _, chain in self.blocks for p in chain}

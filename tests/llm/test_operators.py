@@ -305,6 +305,25 @@ def test_html_main_text(spark):
     assert main_texts(table.where("page_id < 0")).count() == 0
 
 
+def test_html_articles_with_inner_containers(spark):
+    from strandloom.llm.html_text import Page, main_texts
+
+    a, b, c, d = (TEXT(n) for n in (100, 60, 20, 5))
+    inner = [
+        (f'<div class="a"><p>{a}</p></div><div class="b"><p>{b}</p></div>', [a, b]),
+        (f"<p>{c}</p><section><p>{a}</p></section><section><p>{b}</p></section>", [c, a, b]),
+        (f"<p>{c}</p><ul><li>{a}</li><li>{b}</li></ul>", [c, a, b]),
+        (f"<p>{c}</p><table><tr><td>{a}</td><td>{b}</td></tr></table>", [c, a, b]),
+        (f"<blockquote><p>{a}</p></blockquote><p>{c}</p>", [a, c]),
+    ]
+    outer = ["<html><body><nav><p>menu</p></nav>%s<footer>end</footer></body></html>" % x for x in ("<article>%s</article>", '<main><article class="p-7">%s</article></main><div class="ad">buy</div>', '<div class="wrap"><div class="post">%s</div><div class="links"><p><a href="/">' + TEXT(80) + "</a></p></div></div>")]
+    pages = [(f"http://n{i}-{k}.example.com/", o % f"<h1>{d}</h1>{x}", "\n\n".join([d, *blocks])) for i, o in enumerate(outer) for k, (x, blocks) in enumerate(inner)]
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame([(n, u, h) for n, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert got == {n: t for n, (_, _, t) in enumerate(pages)}
+    assert Page(f'<body><article><h1>{d}</h1><p>{a}</p></article><div class="x"><p>{b}</p></div></body>').text([]) == f"{d}\n\n{a}"
+    assert Page(f'<body><p><a href="/">{d}</a></p></body>').text([]) == d
+
+
 def cosine_links(x, threshold=0.95):
     ok = np.isfinite(x).all(1) & x.any(1)
     u = np.where(ok[:, None], x, 1.0)
