@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -89,6 +91,58 @@ def hamming_matches(seqs: DataFrame, seq_id: str, patterns: DataFrame, length: i
     return found.where(F.col("distance") <= errors).distinct()
 
 
+def hamming_windows(seqs: DataFrame, seq_id: str, patterns: DataFrame, length: int = 24, errors: int = 3) -> DataFrame:
+    """pattern_id, start, seq_id, pos, distance: every window of every pattern (pattern_id, seq) against every window of every sequence.
+
+    The pigeonhole of `hamming_matches` as an Arrow kernel over 2-bit windows (31 bases at most); a pair counts at its first piece without errors. The patterns' windows go to all workers.
+    """
+    cuts = np.linspace(0, length, errors + 2).astype(int).tolist()
+    code = np.full(256, 4, np.uint8)
+    code[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+
+    def windows(seq: str | None) -> tuple[np.ndarray, np.ndarray]:
+        c = code[np.frombuffer((seq or "").encode(), np.uint8)]
+        n = len(c) - length + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        packed, good = np.zeros(n, np.uint64), np.ones(n, bool)
+        for i in range(length):
+            packed = (packed << np.uint64(2)) | (c[i : i + n] & 3).astype(np.uint64)
+            good &= c[i : i + n] < 4
+        return np.flatnonzero(good), packed[good]
+
+    places = [(r[0], *windows(r[1])) for r in patterns.select("pattern_id", "seq").collect()]
+    owner = np.repeat(np.array([p for p, _, _ in places], np.int64), [len(a) for _, a, _ in places])
+    starts = np.concatenate([np.zeros(0, np.int64), *[a for _, a, _ in places]])
+    values = np.concatenate([np.zeros(0, np.uint64), *[v for _, _, v in places]])
+    cut = lambda x, a, b: (x >> np.uint64(2 * (length - b))) & np.uint64(4 ** (b - a) - 1)
+    orders = [np.argsort(cut(values, a, b), kind="stable") for a, b in zip(cuts, cuts[1:], strict=False)]
+    evens = np.uint64(0x5555555555555555)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [cut(values, a, b)[o] for o, a, b in zip(orders, cuts, cuts[1:], strict=False)]
+        for batch in batches:
+            for seq, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, mine = windows(text)
+                for i in range(0, len(mine), 20_000):
+                    x = mine[i : i + 20_000]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        lo, hi = np.searchsorted(keys[k], cut(x, a, b)), np.searchsorted(keys[k], cut(x, a, b), "right")
+                        n = hi - lo
+                        who = np.repeat(np.arange(len(x)), n)
+                        which = orders[k][np.arange(len(who)) - np.repeat(np.cumsum(n) - n - lo, n)]
+                        apart = x[who] ^ values[which]
+                        apart = (apart | (apart >> np.uint64(1))) & evens
+                        distance = np.bitwise_count(apart)
+                        kept = distance <= errors
+                        for c, d in zip(cuts[:k], cuts[1:], strict=False):
+                            kept &= cut(apart, c, d) > 0
+                        if kept.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(owner[which[kept]]), pa.array(starts[which[kept]]), pa.array([seq] * int(kept.sum()), pa.int64()), pa.array(at[i + who[kept]]), pa.array(distance[kept].astype(np.int64))], ["pattern_id", "start", "seq_id", "pos", "distance"])
+
+    return seeds.spread(seqs.select(F.col(seq_id).cast("long").alias("seq_id"), "seq")).mapInArrow(run, "pattern_id long, start long, seq_id long, pos long, distance long")
+
+
 def repeats(seqs: DataFrame, seq_id: str, k: int, least: int = 2) -> DataFrame:
     """seq_id, kmer, n: words that occur `least` times or more in a sequence."""
     return seeds.kmer_rows(seqs, seq_id, k).groupBy("seq_id", "kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least)

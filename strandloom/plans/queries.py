@@ -54,6 +54,13 @@ def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T(spark, sf_dir, "benchmark").select(F.col("item_id").alias("gid"), F.concat(F.lit("chr"), "item_id").alias("name"), S.dna(F.col("text")).alias("seq"))
 
 
+def whole_text_distances(seqs: DataFrame) -> DataFrame:
+    """doc_id, edit (to the sequence of the next id, null if there is none), hamming (to its own reverse complement), over whole sequences."""
+    following = seqs.select((F.col("read_id") - 1).alias("read_id"), F.col("seq").alias("next"))
+    pairs = seeds.spread(seqs).join(following, "read_id", "left")
+    return pairs.select(F.col("read_id").alias("doc_id"), S.edit_distance(F.col("seq"), F.col("next")).alias("edit"), S.hamming(F.col("seq"), S.reverse_complement(F.col("seq"))).alias("hamming"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, ord, x (seconds), y (ord), value, event_id."""
     e = T(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("x"))
@@ -325,6 +332,10 @@ define("pile_up", "gid:s pos:l base:s depth:l share:d", f"p AS (SELECT lang AS g
 )
 define("exact_find", "pattern_id:l seq_id:l pos:l", f"{D_READS}, {D_GENOMES} => SELECT gid AS pattern_id, seq_id, pos FROM {d_kmers('reads', 'read_id', 24)} JOIN genomes ON kmer = substr(seq, 1, 24)")(lambda s, d: composition.exact_matches(reads(s, d), "read_id", genomes(s, d).select(F.col("gid").alias("pattern_id"), F.substr("seq", F.lit(1), F.lit(24)).alias("pattern")), 24))
 define("hamming_find", "pattern_id:l seq_id:l pos:l distance:l", f"{D_READS}, {D_GENOMES} => SELECT gid AS pattern_id, seq_id, pos, hamming(kmer, substr(seq, 1, 24)) AS distance FROM {d_kmers('genomes', 'gid', 24)} JOIN genomes ON hamming(kmer, substr(seq, 1, 24)) <= 3")(lambda s, d: composition.hamming_matches(genomes(s, d), "gid", genomes(s, d).select(F.col("gid").alias("pattern_id"), F.substr("seq", F.lit(1), F.lit(24)).alias("pattern")), 24, 3))
+# The same operators over whole sequences, without SQL twins (too slow there); the tests hold them against brute force.
+define("edit_and_hamming_texts", "doc_id:l edit:l hamming:l")(lambda s, d: whole_text_distances(reads(s, d)))
+define("exact_find_windows", "pattern_id:l start:l seq_id:l pos:l")(lambda s, d: composition.exact_matches(reads(s, d), "read_id", seeds.kmer_rows(genomes(s, d), "gid", 24).select(F.struct(F.col("seq_id").alias("gid"), F.col("pos").alias("start")).alias("pattern_id"), F.col("kmer").alias("pattern")), 24).select("pattern_id.gid", "pattern_id.start", "seq_id", "pos").withColumnRenamed("gid", "pattern_id"))
+define("hamming_find_windows", "pattern_id:l start:l seq_id:l pos:l distance:l")(lambda s, d: composition.hamming_windows(reads(s, d), "read_id", genomes(s, d).select(F.col("gid").alias("pattern_id"), "seq")))
 define("repeat_words", "seq_id:l kmer:s n:l", f"{D_READS} => SELECT seq_id, kmer, count(*) AS n FROM {d_kmers('reads', 'read_id', 24)} GROUP BY 1, 2 HAVING count(*) >= 2")(lambda s, d: composition.repeats(reads(s, d), "read_id", 24))
 define("genomic_region", "p_partkey:l chrom:s start:l end:l", "SELECT p_partkey, p_brand AS chrom, p_size * 1000 - 1 AS start, p_size * 1000 + 500 AS \"end\" FROM part".replace('"end"', "end_").replace("end_", '"end"'))(lambda s, d: T(s, d, "part").select("p_partkey", *formats.genomic_region(F.concat("p_brand", F.lit(":"), (F.col("p_size") * 1000).cast("string"), F.lit("-"), (F.col("p_size") * 1000 + 500).cast("string")))))
 ORACLES["genomic_region"] = 'SELECT p_partkey, p_brand AS chrom, CAST(p_size * 1000 - 1 AS BIGINT) AS start, CAST(p_size * 1000 + 500 AS BIGINT) AS "end" FROM part'

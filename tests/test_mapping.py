@@ -45,6 +45,36 @@ def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_finds_and_distances_over_whole_sequences(spark, tmp_path):
+    r = np.random.default_rng(9)
+    word = lambda n: "".join("ACGT"[i] for i in r.integers(0, 4, n)).translate(str.maketrans("ACGT", "abcd"))
+    genome, other = word(90), word(60)
+    changed = list(genome[40:80])
+    for i in (3, 15, 30):
+        changed[i] = "abcd"["abcd".index(changed[i]) - 1]
+    texts = [word(30) + genome[50:85] + word(20), word(10) + "".join(changed) + word(5), word(70), other]
+    spark.createDataFrame([(0, genome), (1, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = lambda t: [(i, t[i : i + 24]) for i in range(len(t) - 23)]
+    every = [(g, i, d, j, sum(a != b for a, b in zip(x, y))) for g, p in enumerate((genome, other)) for i, x in cut(p) for d, t in enumerate(texts) for j, y in cut(t)]
+    rows = lambda name: sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert rows("exact_find_windows") == sorted(e[:4] for e in every if not e[4])
+    assert rows("hamming_find_windows") == sorted(e for e in every if e[4] <= 3)
+    assert any(0 < e[4] <= 3 and e[1] > 0 for e in every)
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    own = [sum(x + y != "ad" and x + y != "da" and x + y != "bc" and x + y != "cb" for x, y in zip(t, t[::-1])) for t in texts]
+    got = sorted(map(tuple, queries.QUERIES["edit_and_hamming_texts"](spark, str(tmp_path)).collect()), key=lambda q: q[0])
+    assert got == [(i, edit(texts[i], texts[i + 1]) if i < 3 else None, own[i]) for i in range(4)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
