@@ -94,10 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SUBSTRING_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS ws FROM documents),
-places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM d),
-ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(ws[p:p + 19], ' ') ORDER BY doc_id, p) AS rn FROM places),
+u AS (SELECT DISTINCT doc_id, ws FROM d),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM u),
+ranked AS (SELECT doc_id, p, rank() OVER (PARTITION BY array_to_string(ws[p:p + 19], ' ') ORDER BY doc_id, p) AS rn FROM places),
 steps AS (SELECT doc_id, i, sum(s) AS s FROM (SELECT doc_id, p AS i, 1 AS s FROM ranked WHERE rn > 1 UNION ALL SELECT doc_id, p + 20, -1 FROM ranked WHERE rn > 1) GROUP BY 1, 2),
-words AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+words AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM u)),
 covered AS (SELECT w.doc_id, w.i, w.w, sum(coalesce(s.s, 0)) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS c FROM words w LEFT JOIN steps s ON s.doc_id = w.doc_id AND s.i = w.i),
 kept AS (SELECT doc_id, count(*) FILTER (WHERE c > 0) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE c = 0) AS t FROM covered GROUP BY 1)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)

@@ -15,8 +15,8 @@ window's owner.
    all documents reaches its bucket once a batch, and no group holds all its occurrences.
 3. The positions come back to the documents by doc_id, and covered words go.
 
-Defined results: null text has no words; rows with a null doc_id lose nothing and nothing is a repeat of them; rows of one doc_id lose what any
-of them loses; texts of fewer than `window` words lose nothing; an empty table gives an empty result.
+Defined results: null text has no words; rows with a null doc_id lose nothing and nothing is a repeat of them; repeated rows of
+one doc_id are one document, so none is a repeat of another; rows of one doc_id with different texts lose the places that any of them loses; texts of fewer than `window` words lose nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -194,11 +194,13 @@ def _candidates(buckets: int, bits: int, marks, window: int):
             bucket, key, doc, at = bucket[order], key[order], doc[order], at[order]
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+            head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+            later = (doc != doc[head]) | (at != at[head])  # repeated rows of one document are one occurrence
             b1, k1, d1, a1 = bucket[first], key[first], doc[first], at[first]
             order = np.lexsort((a1, d1, b1))  # neighbours of one document differ little, so differences compress well
             b1, k1, d1, a1 = b1[order], k1[order], d1[order], a1[order]
             rows = [(k, 0, k1[a:b].tobytes() + np.diff(d1[a:b], prepend=0).tobytes() + np.diff(a1[a:b], prepend=np.int32(0)).tobytes()) for k, a, b in split_runs(b1)]
-            doc, at = doc[~first], at[~first]
+            doc, at = doc[later], at[later]
             order = np.lexsort((at, doc))
             doc, at = doc[order], at[order]
             rows += [(k % buckets, 1, doc[a : a + 1].tobytes() + at[a:b].tobytes()) for k, a, b in split_runs(doc)]
@@ -234,7 +236,10 @@ def _repeats(t: pa.Table) -> pa.Table:
         at = np.concatenate([np.cumsum(np.frombuffer(x, np.int32, n, 16 * n), dtype=np.int32) for x, n in cut])
         order = np.lexsort((at, doc, key))
         key, doc, at = key[order], doc[order], at[order]
-        later = np.flatnonzero(key[1:] == key[:-1]) + 1
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        later = (doc != doc[head]) | (at != at[head])
         doc, at = doc[later], at[later]
         order = np.argsort(doc, kind="stable")
         doc, at = doc[order], at[order]
@@ -270,6 +275,7 @@ def _cut(window: int):
                         steps = np.zeros(len(words) + 1, np.int64)
                         for x in firsts:
                             at = np.frombuffer(x, np.int32)
+                            at = at[at + window <= len(words)]  # an id may come with texts of several lengths
                             np.add.at(steps, at, 1)
                             np.add.at(steps, at + window, -1)
                         words = [words[k] for k in np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()]
