@@ -15,7 +15,7 @@ Equal vectors are one class: only classes are compared, weighted by their size.
 bounded size; a block emits a count and a forest of links, never pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components get n_links 0 and are their own component;
-so do vectors whose length differs from the commonest's, and rows with a null vec_id; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
+so do rows with a null vec_id; vectors link with those of their own length only, each length has an index of its own; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import U64, mix, split_runs, stored
 from strandloom.llm.components import connected_components
 
-SAMPLE = 16_384  # vectors that the index is fitted on, by the hash of their bytes
-MOST_LISTS = 1024
+SAMPLE = 16_384  # vectors that the index is fitted on, by the hash of their bytes; 16 for each list, if that is more
+MOST_LISTS = 4096  # their distances are a table of 128 MB at most
 MARGIN = 0.5  # share of the worst case that probes cover
 SUBSPACES, CODES = 8, 64
 MEMBERS, QUERIES = 4096, 8192  # of one block
@@ -71,7 +71,8 @@ class ProductIndex:
         self.radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
         self.threshold, self.margin = threshold, margin
         self.centers = kmeans(sample, min(lists, len(sample)))
-        self.apart = np.sqrt(np.maximum(0, ((self.centers[:, None] - self.centers[None]) ** 2).sum(2)))
+        square = (self.centers**2).sum(1)
+        self.apart = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * self.centers @ self.centers.T)) + SLACK
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         rest = sample - self.centers[nearest(sample, self.centers)]
         self.books = [kmeans(rest[:, c], min(CODES, len(rest))) for c in self.cuts]
@@ -132,26 +133,30 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float = MARGIN) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `vectors`."""
-    spark = vectors.sparkSession
     rows = stored(valid_vectors(vectors), "vectors")
-    common = rows.where("key is not null and vec_id is not null").groupBy("width").count().orderBy(F.desc("count"), "width").first()
+    usable = F.col("key").isNotNull() & F.col("vec_id").isNotNull()
+    widths = sorted(r["width"] for r in rows.where(usable).select("width").distinct().collect())  # lengths of vectors: one of each model that made them
     alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if common is None:
-        return alone(rows)
-    kind = _kind(vectors)
-    width = common["width"] // kind.itemsize
-    usable = F.col("key").isNotNull() & F.col("vec_id").isNotNull() & (F.col("width") == common["width"])
-    classes = stored(rows.where(usable).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    out = alone(rows.where(~usable))
+    for width in widths:
+        out = out.unionByName(_of_one_width(rows.where(usable & (F.col("width") == width)), _kind(vectors), width, threshold, margin))
+    return out
+
+
+def _of_one_width(rows: DataFrame, kind: np.dtype, n_bytes: int, threshold: float, margin: float) -> DataFrame:
+    spark = rows.sparkSession
+    width = n_bytes // kind.itemsize
+    classes = stored(rows.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     total = classes.count()
-    sample = classes.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()["key"]
+    sample = classes.select("key").orderBy(F.xxhash64("key"), "key").limit(max(SAMPLE, 16 * lists_for(total))).toPandas()["key"]
     index = spark.sparkContext.broadcast(ProductIndex(unit(_rows_of(list(sample), width, kind)), lists_for(total), threshold, margin))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         members, queries = np.zeros(len(ix.centers), np.int64), np.zeros(len(ix.centers), np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                x = unit(_rows_of(batch.slice(i, 4096).column(0).to_pylist(), width, kind))
+            for i in range(0, batch.num_rows, 1024):
+                x = unit(_rows_of(batch.slice(i, 1024).column(0).to_pylist(), width, kind))
                 of = nearest(x, ix.centers)
                 members += np.bincount(of, minlength=len(members))
                 queries += np.bincount(ix.probes(x, of)[1], minlength=len(queries))
@@ -165,8 +170,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float =
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 data = np.empty(part.num_rows, np.dtype([("id", np.int64), ("n", np.int64), ("x", kind, (width,))]))
                 data["x"] = raw = _rows_of(part.column(0).to_pylist(), width, kind)
                 reps, data["n"] = (part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
@@ -233,5 +238,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, margin: float =
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     named = stored(named.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
-    linked = rows.where(usable).join(named, "key").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return linked.unionByName(alone(rows.where(~F.coalesce(usable, F.lit(False)))))
+    return rows.join(named, "key").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
