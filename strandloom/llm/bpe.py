@@ -4,8 +4,8 @@ A piece's bytes, read as Latin-1, are matched from each place that is reached ag
 longest token that fits there. The encoder takes the longest token at each place and goes back to the next shorter one where the token can't
 stand beside its left neighbour, or where everything after it has failed before. Two tokens can stand side by side if merging their bytes
 by rank gives just these two; that is worked out once a pair and kept. The sequence of tokens all of whose
-neighbours are compatible is unique and is what the merges produce. A place is left for good at most once, so the work is linear
-in the piece's length.
+neighbours are compatible is unique and is what the merges produce. A place is left for good at most once, so the time is in proportion
+to the piece's length.
 
 Defined results: null text counts as empty; an empty text has no ids; a text that isn't valid Unicode can't occur in a Spark string; repeated
 rows each get a row; an empty table gives an empty result; other columns are ignored.

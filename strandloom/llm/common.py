@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset and all runs on this machine (local tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="strandloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         at = f"file://{folder}"
@@ -41,9 +43,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _written.append(path)
     return out
 
 
+_written: list[str] = []  # paths of what `stored` wrote, in that order
+
+
+def written_so_far() -> int:
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Removes the tables stored since `mark = written_so_far()` but for `keep`, which no longer needs them."""
+    for path in _written[mark:]:
+        if path != keep._stored_at:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written[mark:] = [keep._stored_at]
+
+
 def drop_stored(df: DataFrame) -> None:
     """Removes what `stored` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -130,6 +130,7 @@ def test_components_of_chains_and_stars(spark):
 
 
 def removed(texts, window=20):
+    """By doc_id; repeated rows of one document are one."""
     seen, out = {}, {}
     lists = {d: (t or "").encode().split() for d, t in texts}
     for d in sorted(lists):
@@ -147,13 +148,14 @@ def removed(texts, window=20):
 def test_substring_equals_brute_force(docs, none, texts):
     from strandloom.llm.substring import digests, remove_repeats
 
-    one = docs.dropDuplicates(["doc_id"])
     expected = removed(list(enumerate(texts)))
-    for r in digests(one).collect():
+    got = digests(docs).collect()
+    assert len(got) == len(texts) + 1  # document 1 comes twice
+    for r in got:
         n, gone, kept = expected[r["doc_id"]]
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (n, gone, hashlib.sha256(kept).hexdigest()), r["doc_id"]
-    cut = remove_repeats(one)
-    assert cut.columns == docs.columns
+    cut = remove_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == len(texts) + 1
     for r in cut.collect():
         n, gone, kept = expected[r["doc_id"]]
         assert r["text"] == (kept.decode() if gone else texts[r["doc_id"]])
@@ -161,6 +163,16 @@ def test_substring_equals_brute_force(docs, none, texts):
     assert digests(none).count() == 0
 
 
+def test_substring_keeps_repeated_rows(spark):
+    from strandloom.llm.substring import digests, remove_repeats
+
+    a, b = TEXT(60), TEXT(70)
+    table = spark.createDataFrame(rows([a]) * 3 + rows([f"{b} {a}", b], 1) + rows([b[:80]], 2), DOCS).repartition(3)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in digests(table).collect())
+    assert got == [(0, 60, 0)] * 3 + [(1, 130, 60), (2, len(b[:80].split()), 0), (2, 70, 70)]
+    assert sorted(r["text"] for r in remove_repeats(table).where("doc_id = 0").collect()) == [a] * 3
+
+
 def test_recompression_owners_depend_on_the_window_alone():
     from strandloom.llm.substring import Windows
 
@@ -324,6 +336,40 @@ def test_html_articles_with_inner_containers(spark):
     assert Page(f'<body><p><a href="/">{d}</a></p></body>').text([]) == d
 
 
+def test_html_shapes_of_pages(spark):
+    from strandloom.llm.html_text import main_texts
+
+    a, b, c = TEXT(60), TEXT(50), TEXT(30)
+    text = f"<p>{a}</p><p>{b}</p>"
+    cases = [
+        (f'<article><svg viewBox="0 0 1 1"/>{text}<math/><p>{c}</p></article>', [a, b, c]),
+        (f"<article><p>{a} <button>Share <div>this</div></button> {c}</p><p>{b}</p><select><option>one<option>two</select></article>", [f"{a} {c}", b]),
+        (f'<body><article class="social-science">{text}</article><footer>end</footer></body>', [a, b]),
+        (f'<body><div class="post share-8">{text}</div><div class="sidebar"><p>{c}</p></div></body>', [a, b]),
+        (f'<body><div class="search-engines share">{text}</div><nav><p>{c}</p></nav></body>', [a, b]),
+        (f'<article><p>{a}</p><p>&<b>amp;</b> x&amp;y &#x41;&eacute;</p><p>{b}</p></article>', [a, "&amp; x&y Aé", b]),
+        (f"<html><head><title>t</title><article>{text}</article>", [a, b]),
+        (f'<article>{text}<div class="comment-list"><p>{c}</p></div><div id="post-footer">f</div><div role="navigation">n</div><p class="advert">buy</p></article>', [a, b]),
+        (f"<article><p>{a} <svg> {c}</p><p>{b}</p></article>", [f"{a} {c}", b]),
+        (f"<article>{text}<p>{TEXT(40_000)}</p></article>", None),
+    ]
+    table = spark.createDataFrame([(n, f"http://s{n}.example.com/", h) for n, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_texts(table).collect()}
+    for n, (_, blocks) in enumerate(cases[:-1]):
+        assert got[n] == "\n\n".join(blocks), n
+    assert len(got[len(cases) - 1].split()) == 40_110
+
+
+def test_html_hosts_too_many_to_broadcast(spark, monkeypatch):
+    from strandloom.llm import html_text
+
+    page = lambda i: f'<body><div class="a"><p>{"word " * (40 + i)}</p></div><p>x</p></body>'
+    table = spark.createDataFrame([(i, f"http://h{i % 3}.example.com/", page(i)) for i in range(40)] + [(40, None, None)], "page_id long, url string, html string")
+    one = sorted(map(tuple, html_text.main_texts(table).collect()), key=str)
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, html_text.main_texts(table).collect()), key=str) == one and len(one) == 41
+
+
 def cosine_links(x, threshold=0.95):
     ok = np.isfinite(x).all(1) & x.any(1)
     u = np.where(ok[:, None], x, 1.0)
@@ -349,6 +395,9 @@ def test_embeddings_equal_brute_force(spark, kind):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum(), comp[i], comp[i] == i)
     assert all((got[1000 + i]["n_links"], got[1000 + i]["component_id"], got[1000 + i]["kept"]) == (0, 1000 + i, True) for i in range(5))
     assert near_duplicates(table.where("vec_id < 0")).count() == 0
+    short = spark.createDataFrame([(2000 + i, [1.0, float(i % 2)], 0) for i in range(6)], f"vec_id long, embedding array<{kind}>, key int")
+    both = {q["vec_id"]: (q["n_links"], q["component_id"]) for q in near_duplicates(table.where("vec_id < 20").unionByName(short)).collect()}
+    assert len(both) == 26 and [both[2000 + i] for i in range(6)] == [(2, 2000 + i % 2) for i in range(6)]
     assert near_duplicates(table.where("vec_id >= 1000 and vec_id < 1004")).count() == 4
 
 
