@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import U64, Memo, mix, split_runs, tidied
+from strandloom.llm.common import U64, mix, split_runs, tidied
 
 ROUNDS = 12
 COINS = np.arange(ROUNDS + 1, dtype=U64) * U64(0xA0761D6478BD642F)
@@ -41,24 +40,57 @@ BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 TABLE_BITS = 1 << 28
 WORDS_AT_ONCE = 150_000
 
-_word = Memo(xxhash.xxh3_64_intdigest, 400_000)
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+LETTERS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+LONG_WORD = 64  # bytes; longer words are hashed one by one
+
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 .. base ** (n - 1)."""
+    known = _powers.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 20), base, U64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if len(known) <= 1 << 24:
+            _powers[int(base)] = known
+    return known[:n]
+
+
+def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and a 64-bit symbol of each word: a hash of its bytes, made for all words at once from running sums over the bytes."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    if not len(raw):
+        return np.zeros(len(texts), np.int64), np.zeros(0, U64)
+    space = SPACES[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    edge[1:] |= np.append(space, True)[:-1]
+    first = np.flatnonzero(~space & edge[:-1])
+    edge[:-1] = space
+    edge[at] = True
+    edge[:-1] |= space
+    stop = np.flatnonzero(~space & edge[1:]) + 1
+    sums = np.zeros(len(raw) + 1, U64)
+    np.cumsum(LETTERS[raw] * powers(BASE_INVERSE, len(raw)), out=sums[1:])
+    symbols = mix((sums[stop] - sums[first]) * powers(BASE, len(raw))[first])
+    for k in np.flatnonzero(stop - first > LONG_WORD).tolist():
+        symbols[k] = xxhash.xxh3_64_intdigest(raw[first[k] : stop[k]].tobytes())
+    return np.diff(np.searchsorted(first, at)), symbols
 
 
 class Windows:
     """All windows of some documents, in order: which document, first word, owner's name, hash of all words."""
 
-    def __init__(self, texts: list[str | None], window: int):
-        lists = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        self.n_words = n = np.array([len(x) for x in lists], np.int64)
-        total = int(n.sum())
-        symbols = np.fromiter(map(_word.__getitem__, chain.from_iterable(lists)), U64, total)
+    def __init__(self, texts: pa.Array, window: int):
+        self.n_words, symbols = word_symbols(texts)
+        n = self.n_words
         begin = np.cumsum(n) - n
         per = np.maximum(n - window + 1, 0)
         self.doc = np.repeat(np.arange(len(n)), per)
@@ -154,7 +186,7 @@ def _names(buckets: int, window: int):
 
         for batch in batches:
             for part in whole_texts(batch, 1):
-                w = Windows(part.column(1).to_pylist(), window)
+                w = Windows(part.column(1), window)
                 new = np.ones(len(w.name), bool)
                 new[1:] = (w.owner[1:] != w.owner[:-1]) | (w.name[1:] != w.name[:-1])
                 held.append(w.name[new])
@@ -208,7 +240,7 @@ def _candidates(buckets: int, bits: int, marks, window: int):
 
         for batch in batches:
             for part in whole_texts(batch, 1):
-                w = Windows(part.column(1).to_pylist(), window)
+                w = Windows(part.column(1), window)
                 bucket = (w.name >> shift).astype(np.int64)
                 at = bucket * bits + (mix(w.name) % U64(bits)).astype(np.int64)
                 hit = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
@@ -254,12 +286,12 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     buckets = buckets_for(docs.count())
     bits = TABLE_BITS // buckets
-    names = docs.mapInArrow(tidied(_names(buckets, window), lambda: [_word]), "bucket int, names binary")
+    names = docs.mapInArrow(tidied(_names(buckets, window)), "bucket int, names binary")
     table = np.zeros((buckets, bits // 8), np.uint8)
     for bucket, marks in names.groupBy("bucket").applyInArrow(_mark(bits), "bucket int, marks binary").toLocalIterator():  # TABLE_BITS in all
         table[bucket] = np.frombuffer(marks, np.uint8)
     marks = spark.sparkContext.broadcast(table.tobytes())
-    return docs.mapInArrow(tidied(_candidates(buckets, bits, marks, window), lambda: [_word]), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_repeats, "doc_id long, firsts binary")
+    return docs.mapInArrow(tidied(_candidates(buckets, bits, marks, window)), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_repeats, "doc_id long, firsts binary")
 
 
 def _cut(window: int):

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,11 +174,23 @@ def test_substring_keeps_repeated_rows(spark):
     assert sorted(r["text"] for r in remove_repeats(table).where("doc_id = 0").collect()) == [a] * 3
 
 
+def test_word_symbols():
+    from strandloom.llm.substring import word_symbols
+
+    texts = [None, "", " ", "a b", "b a", "\ta\x0bb\n", "ab", "é\u00a0x y", "w" * 70 + " " + "w" * 71, "a"]
+    lists = [(t or "").encode().split() for t in texts]
+    for column in (pa.array(texts), pa.array(["x y z", *texts, "tail"]).slice(1, len(texts))):
+        n, symbols = word_symbols(column)
+        assert n.tolist() == list(map(len, lists))
+        words = [w for ws in lists for w in ws]
+        assert all((words[i] == words[j]) == (symbols[i] == symbols[j]) for i in range(len(words)) for j in range(len(words)))
+
+
 def test_recompression_owners_depend_on_the_window_alone():
     from strandloom.llm.substring import Windows
 
     inside = TEXT(45)
-    w = Windows([f"{TEXT(33)} {inside} {TEXT(9)}", f"{TEXT(4)} {inside}", "the " * 50], 20)
+    w = Windows(pa.array([f"{TEXT(33)} {inside} {TEXT(9)}", f"{TEXT(4)} {inside}", "the " * 50]), 20)
     one = {int(h): (int(n), int(o - a)) for h, n, o, a in zip(w.hash[w.doc == 0], w.name[w.doc == 0], w.owner[w.doc == 0], w.at[w.doc == 0])}
     two = [(int(h), int(n), int(o - w.n_words[0] - a)) for h, n, o, a in zip(w.hash[w.doc == 1], w.name[w.doc == 1], w.owner[w.doc == 1], w.at[w.doc == 1])]
     same = [(h, n, o) for h, n, o in two if h in one]
