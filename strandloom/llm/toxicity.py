@@ -1,9 +1,10 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Fitting. Labelled rows of the training folds (crc32 of the id mod 5 is not 0) are sampled by the hash of their id, EXAMPLES_A_CLASS of each label at most; this bound is
-the only sample. A text's terms are its words and the first STEM letters of longer ones, so a word family is a term too; a term counts once a text (binary TF).
-Terms whose presence goes with label 1 beyond chance (chi-square of at least CHI_SQUARE over the examples, TERMS at most, the most telling first) make the vocabulary. Document frequencies
-behind the IDF are counted over all documents.
+the only sample. A text's terms are its words and the first STEM letters of longer ones, so a word family is a term too. Terms whose presence goes with label 1 beyond
+chance (chi-square of at least CHI_SQUARE over the examples) and clearly (its share of the examples, phi squared, of at least PHI_SQUARE) make the vocabulary, by the same rule at every size; other terms would
+only say which texts have a topic, a copied passage or a random word in common. TF is 1 + log of a term's
+count in the text; document frequencies behind the IDF are counted over all documents.
 
 Search. Examples are sorted by their terms and numbered; each term's postings (example, weight) are cut into blocks of BLOCK numbers with their greatest
 weight. A query bounds every block by its terms' maxima and reads blocks from the greatest bound down until none left can beat the k-th best cosine, so the k nearest are exact.
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import Memo, stored, tidied
 
-EXAMPLES_A_CLASS = 2048
-TERMS = 2048
-CHI_SQUARE = (24.0, 60.0)  # with few examples; with 64 times the greater number of examples, where copies of one text weigh more
+EXAMPLES_A_CLASS = 4096
+CHI_SQUARE = 24.0  # one degree of freedom: less than one term in a million by chance
+PHI_SQUARE = 1 / 64  # copies of texts and passages aren't chance, but are in few of the examples
 STEM = 4
 NEIGHBOURS = 15
 BLOCK = 64
@@ -42,6 +43,9 @@ BLOCK = 64
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+Terms = frozenset[tuple[str, int]]  # (term, how often)
+
+
 def terms_of(text: str | None) -> set[str]:
     """Words of a text, and as `abcd*` the first STEM letters of longer ones."""
     words = set(WORDS((text or "").lower()))
@@ -62,21 +66,27 @@ class Index:
     postings: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by term and block: places, weights
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
-    def present(self, text: str | None) -> frozenset[str]:
+    def present(self, text: str | None) -> Terms:
         """The vocabulary's terms in a text."""
-        words, idf = set(WORDS((text or "").lower())), self.idf
-        return frozenset([w for w in words if w in idf] + [s for w in words if len(w) > STEM and (s := w[:STEM] + "*") in idf])
-
-    def vector(self, terms: frozenset[str]) -> dict[str, float]:
-        size = math.sqrt(sum(self.idf[t] ** 2 for t in sorted(terms)))
-        return {t: self.idf[t] / size for t in sorted(terms)}
-
-    def build(self, examples: list[tuple[int, int, frozenset[str]]]) -> None:
-        same: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        idf, found = self.idf, {}
+        for w in WORDS((text or "").lower()):
+            if w in idf:
+                found[w] = found.get(w, 0) + 1
+            if len(w) > STEM and (s := w[:STEM] + "*") in idf:
+                found[s] = found.get(s, 0) + 1
+        return frozenset(found.items())
+
+    def vector(self, terms: Terms) -> dict[str, float]:
+        weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(terms)}
+        size = math.sqrt(sum(x * x for x in weights.values()))
+        return {t: x / size for t, x in weights.items()}
+
+    def build(self, examples: list[tuple[int, int, Terms]]) -> None:
+        same: dict[tuple[tuple[str, int], ...], list[tuple[int, int]]] = {}
         none = [0, 0]
         for i, label, terms in sorted(examples, key=lambda e: e[0]):
             if terms:
-                same.setdefault(tuple(sorted(terms, key=lambda t: (-self.idf[t], t))), []).append((i, label))
+                same.setdefault(tuple(sorted(terms, key=lambda t: (-self.idf[t[0]], t))), []).append((i, label))
             else:
                 none[label] += 1
         self.none = (none[0], none[1])
@@ -92,7 +102,7 @@ class Index:
             self.postings[t, b] = np.array([k for k, _ in p]), weights
             self.greatest.setdefault(t, np.zeros(blocks))[b] = weights.max()
 
-    def nearest(self, terms: frozenset[str], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+    def nearest(self, terms: Terms, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(cosine, vector) of the k nearest with a positive cosine, the smaller number first among equals."""
         query = [(t, x) for t, x in self.vector(terms).items() if t in self.greatest]
         if not query:
@@ -127,7 +137,7 @@ class Index:
         c, t = self.none[0] * self.weight[0], self.none[1] * self.weight[1]
         return t / (c + t) if c + t else self.share
 
-    def calibrate(self, examples: list[tuple[int, int, frozenset[str]]]) -> None:
+    def calibrate(self, examples: list[tuple[int, int, Terms]]) -> None:
         """Isotonic regression (pool adjacent violators) of the label on the vote."""
         where = {i: k for k, ids in enumerate(self.ids) for i in ids}
         near = Memo(self.nearest)
@@ -145,7 +155,7 @@ class Index:
                 merged[-1] = [merged[-1][0], merged[-1][1] + last[1], merged[-1][2] + last[2]]
         self.steps = (np.array([m[0] for m in merged]), np.array([m[2] / m[1] for m in merged]))
 
-    def score(self, terms: frozenset[str]) -> tuple[float, list[int], list[float]]:
+    def score(self, terms: Terms) -> tuple[float, list[int], list[float]]:
         """Score, and as evidence an example of each neighbour and its cosine. On a step of the calibration the raw vote decides the order."""
         at, value = self.steps
         if not len(at):
@@ -174,16 +184,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(terms_of(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(terms_of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["label", "terms"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = some.join(texts, "doc_id").dropDuplicates(["doc_id"]).dropDuplicates(["label", "text"]).select("doc_id", "label", "text")  # 2 * EXAMPLES_A_CLASS ids: adaptive execution sends them, not the texts
-    examples = stored(chosen.mapInArrow(terms, "doc_id long, label int, terms array<string>"), "examples")
+    # 2 * EXAMPLES_A_CLASS ids: adaptive execution sends them, not the texts. An id with several texts stands for the least of them, equal texts of a label for the smallest id.
+    chosen = some.join(texts, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).groupBy("label", "text").agg(F.min("doc_id").alias("doc_id"))
+    examples = stored(chosen.select("doc_id", "label", "text"), "examples")
     n = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
-    by_term = examples.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label") == 1).alias("b"))
+    by_term = examples.select("label", "text").mapInArrow(tidied(terms), "label int, terms array<string>").select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label") == 1).alias("b"))
     chi = F.expr(f"{n0 + n1} * pow(cast(a as double) * ({n1} - b) - cast(b as double) * ({n0} - a), 2) / (cast(a + b as double) * ({n0 + n1} - a - b) * {n0}D * {n1}D)")
-    vocabulary = [r["term"] for r in by_term.where(f"a + b < {n0 + n1} and b * {n0} > a * {n1}").withColumn("chi", chi).where(F.col("chi") >= min(max((n0 + n1) / 64, CHI_SQUARE[0]), CHI_SQUARE[1])).orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+    vocabulary = [r["term"] for r in by_term.where(f"a + b < {n0 + n1} and b * {n0} > a * {n1}").where(chi >= max(CHI_SQUARE, PHI_SQUARE * (n0 + n1))).select("term").orderBy("term").collect()]  # terms of the examples
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df, rows = frozenset(vocabulary), Counter(), 0
@@ -196,16 +207,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         df[""] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
 
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(tidied(frequencies), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # TERMS rows at most
+    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(tidied(frequencies), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the vocabulary
     total = df.pop("", 0)
     index = Index({t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, share)
-    vocabulary_set = frozenset(vocabulary)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t in ts if t in vocabulary_set] for ts in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "terms"])
+            found = [list(zip(*sorted(index.present(t)), strict=True)) or [(), ()] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "n"])
 
-    rows = [(r["doc_id"], r["label"], frozenset(r["terms"])) for r in examples.mapInArrow(kept, "doc_id long, label int, terms array<string>").collect()]  # 2 * EXAMPLES_A_CLASS rows at most
+    rows = [(r["doc_id"], r["label"], frozenset(zip(r["terms"], r["n"], strict=True))) for r in examples.mapInArrow(kept, "doc_id long, label int, terms array<string>, n array<int>").collect()]  # 2 * EXAMPLES_A_CLASS rows at most
     index.weight = ((1 - share) / max(1, n0), share / max(1, n1))
     index.build(rows)
     index.calibrate(rows)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(7)
 WORDS = [f"{a}{b}" for a in "ka lo mi nu pe ra si to vu wy".split() for b in "an bel cor dis eth fin".split()]
+WORDS_ = lambda t: re.findall(r"[^\W\d_]+", t.lower())
 TEXT = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
 
 
@@ -457,6 +458,7 @@ def test_toxicity_on_held_out(spark, none):
     for i in range(0, 800, 40):
         terms = ix.present(texts[i])
         query = ix.vector(terms) if terms else {}
+        assert {t: n for t, n in terms} == {t: (WORDS_(texts[i]) + [w[:4] + "*" for w in WORDS_(texts[i]) if len(w) > 4]).count(t) for t, _ in terms}
         plain = sorted(((sum(x * v.get(t, 0.0) for t, x in query.items()), k) for k, v in enumerate(vectors)), key=lambda n: (-round(n[0], 12), n[1]))
         plain = [n for n in plain if n[0] > 0][:15]
         assert [k for _, k in ix.nearest(terms)] == [k for _, k in plain]
