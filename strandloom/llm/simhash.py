@@ -73,7 +73,11 @@ def points(fingerprints: np.ndarray) -> np.ndarray:
 
 def homes_and_visits(fingerprints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Home anchor of each fingerprint; (which fingerprint, which anchor) of all replicas."""
-    p = points(fingerprints)
+    return anchors_of(points(fingerprints), threshold)
+
+
+def anchors_of(p: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of 23-bit points."""
     home = nearest_anchor()[p]
     word = golay()[home]
     rank, at, flat = reach(threshold)
@@ -85,8 +89,8 @@ def homes_and_visits(fingerprints: np.ndarray, threshold: int) -> tuple[np.ndarr
     return home.astype(np.int64), who, anchors
 
 
-def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
-    """SimHash of the XXH64 (seed 42) of each text's word shingles."""
+def fingerprints_of(texts: list[str | None], shingle: int, distinct: bool = False) -> np.ndarray:
+    """SimHash of the XXH64 (seed 42) of each text's word shingles, repeats included unless `distinct`."""
     xx, hashes, counts = xxhash.xxh64_intdigest, [], []
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -102,6 +106,8 @@ def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
         else:
             starts = [0, *[e + 1 for e in ends[: len(words) - shingle]]]
             own = [xx(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
+        if distinct:
+            own = sorted(set(own))
         hashes.append(np.array(own, U64))
         counts.append(len(own))
     n = np.array(counts, np.int64)
@@ -239,6 +245,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> Da
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
-    """Rows of `docs` whose doc_id is the smallest of its component, and those with a null doc_id; repeated rows of an id all stay; columns unchanged."""
-    kept = near_duplicates(docs, shingle, threshold).where("doc_id = component_id").select("doc_id").distinct()
+    """Rows of `docs` whose doc_id is the smallest of its component of fingerprints, and those with a null doc_id; repeated rows of an id all stay; columns unchanged."""
+    return only_first(docs, near_duplicates(docs, shingle, threshold))
+
+
+def only_first(docs: DataFrame, components: DataFrame) -> DataFrame:
+    kept = components.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
