@@ -89,13 +89,13 @@ def anchors_of(p: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, n
     return home.astype(np.int64), who, anchors
 
 
-def fingerprints_of(texts: list[str | None], shingle: int, distinct: bool = False) -> np.ndarray:
-    """SimHash of the XXH64 (seed 42) of each text's word shingles, repeats included unless `distinct`."""
-    xx, hashes, counts = xxhash.xxh64_intdigest, [], []
+def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
+    """SimHash of the XXH64 (seed 42) of each text's word shingles, repeats included."""
+    xx, hashes = xxhash.xxh64_intdigest, []
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
-            counts.append(0)
+            hashes.append([])
             continue
         joined, ends, at = b" ".join(words), [], -1
         for n in map(len, words):
@@ -106,16 +106,18 @@ def fingerprints_of(texts: list[str | None], shingle: int, distinct: bool = Fals
         else:
             starts = [0, *[e + 1 for e in ends[: len(words) - shingle]]]
             own = [xx(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
-        if distinct:
-            own = sorted(set(own))
-        hashes.append(np.array(own, U64))
-        counts.append(len(own))
-    n = np.array(counts, np.int64)
-    out = np.zeros(len(texts), U64)
+        hashes.append(own)
+    return majority_bits(hashes)
+
+
+def majority_bits(hashes: list) -> np.ndarray:
+    """Of each list of 64-bit hashes the bits that are 1 in over half of them; 0 of an empty list."""
+    n = np.array(list(map(len, hashes)), np.int64)
+    out = np.zeros(len(hashes), U64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
-    h = np.concatenate(hashes)
+    h = np.concatenate([np.asarray(hashes[i], U64) for i in full.tolist()])
     # bits are summed in byte lanes, so 255 hashes at a time, then by text
     blocks = (n[full] + 254) // 255
     text_of = np.repeat(np.arange(len(full)), blocks)
