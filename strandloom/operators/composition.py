@@ -31,6 +31,25 @@ def centred_d2(left: DataFrame, right: DataFrame, k: int, pseudo: float = 0.0) -
     return dots.join(norm(a, "left_id"), "left_id").join(norm(b, "right_id"), "right_id").select("left_id", "right_id", (F.col("d2") / (F.col("norm_left_id") * F.col("norm_right_id"))).alias("d2z"))
 
 
+def d2_star(seqs: DataFrame, seq_id: str, pairs: DataFrame, k: int) -> DataFrame:
+    """seq_id, other, score: sums of products of centred word counts, each by its expected share, over the words of any sequence, for the given pairs.
+
+    Words are expected by the bases' shares in all sequences; there are at most 4 ** k of them, so each sequence has a bounded row set.
+    """
+    letters = seqs.select(F.sum(F.length("seq")).cast("double").alias("all"), *[F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).alias(b) for b in "ACGT"]).first()
+    share = F.create_map(*[F.lit(v) for b in "ACGT" for v in (b, float(letters[b] or 0) / (letters["all"] or 1))])
+    counts = seeds.kmer_rows(seqs, seq_id, k).groupBy(F.col("seq_id").alias(seq_id), "kmer").agg(F.count("*").alias("n"))
+    words = [r["kmer"] for r in counts.select("kmer").distinct().collect()]  # 4 ** k at most
+    listed = F.array(*[F.lit(w) for w in sorted(words)])
+    totals = counts.groupBy(seq_id).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("kmer", "n"))).alias("ns"))
+    expected = lambda w: F.aggregate(F.transform(F.split(w, ""), lambda b: F.element_at(share, b)), F.lit(1.0), lambda a, x: a * x)
+    rows = totals.select(seq_id, "total", F.explode(F.transform(listed, lambda w: F.struct(w.alias("kmer"), expected(w).alias("p"), (F.coalesce(F.try_element_at("ns", w), F.lit(0)) - F.col("total") * expected(w)).alias("v")))).alias("e")).select(seq_id, "total", "e.*")
+    a = pairs.join(rows, seq_id)
+    b = rows.select(F.col(seq_id).alias("other"), "kmer", F.col("v").alias("w"), F.col("total").alias("other_total"))
+    both = a.join(b, ["other", "kmer"])
+    return both.groupBy(seq_id, "other").agg(F.round(F.sum(F.col("v") * F.col("w") / (F.sqrt(F.col("total").cast("double") * F.col("other_total")) * F.col("p"))), 6).alias("score"))
+
+
 def bin_counts(bins: DataFrame, queries: DataFrame, k: int, threshold: int) -> DataFrame:
     """query_id, bin_id, n: distinct bins' k-mers that a query's distinct k-mers hit, `threshold` or more (an exact interleaved filter)."""
     inside = seeds.kmer_rows(bins, "bin_id", k).select(F.col("seq_id").alias("bin_id"), "kmer").distinct()
