@@ -14,7 +14,8 @@ from strandloom.functions import sequences as S
 from strandloom.operators.chains import best_chains, truncated
 from strandloom.operators.features import dimer_counts
 
-HEAD, INNER, TAIL = "head", "inner", "tail"
+HEAD, INNER, TAIL, TURNED = "head", "inner", "tail", "turned"
+TILE, REACH = 1 << 16, 1 << 13  # genomes are cut to tiles that overlap by the longest window of a gap
 
 
 def gap_table(blocks: DataFrame, reads: DataFrame, least: int = 50, end_most: int = 2000, inner_most: int = 3000) -> DataFrame:
@@ -38,13 +39,19 @@ def gap_table(blocks: DataFrame, reads: DataFrame, least: int = 50, end_most: in
 def gap_anchors(gaps: DataFrame, reads: DataFrame, genomes: DataFrame, k: int = 9, genome_step: int = 5, within: int = 50) -> DataFrame:
     """read_id, gid, strand, kind, x, y of equal k-mers of a gap's genome and read windows whose diagonals differ from the gap's by `within` or less, or lie between its ends'.
 
-    Windows are cut first, so only they are exploded; the join is on the gap and the k-mer.
+    Windows are cut first, so only they are exploded; the join is on the gap and the k-mer. A gap meets the tile of its genome in which it begins, so no gap carries a whole
+    genome and no genome is one hot key; windows longer than REACH are cut to it.
     """
     keys = ["read_id", "gid", "strand", "kind", "x_lo", "y_lo"]
     seq = F.when(F.col("strand") == 0, F.col("seq")).otherwise(S.reverse_complement(F.col("seq")))
     cut = lambda c, lo, hi: F.substr(c.cast("binary"), (F.col(lo) + 1).cast("int"), F.greatest(F.col(hi) - F.col(lo), F.lit(0)).cast("int"))
     right = gaps.join(reads.select("read_id", "seq"), "read_id").select(*keys, "x_hi", "y_hi", cut(seq, "y_lo", "y_hi").alias("b"))
-    left = gaps.join(genomes.select("gid", "seq"), "gid").select(*keys, cut(F.col("seq"), "x_lo", "x_hi").alias("b"))
+    b = F.col("seq").cast("binary")
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.octet_length(b) - 1, F.lit(0)).cast("long"), F.lit(TILE).cast("long"))
+    tiles = genomes.select("gid", b.alias("seq"), F.explode(starts).alias("begin")).select("gid", "begin", F.substr("seq", (F.col("begin") + 1).cast("int"), F.lit(TILE + REACH)).alias("seq"))
+    placed = gaps.withColumn("begin", F.floor(F.greatest("x_lo", F.lit(0)) / TILE) * TILE)
+    own = placed.join(tiles, ["gid", "begin"])
+    left = own.select(*keys, F.substr("seq", (F.col("x_lo") - F.col("begin") + 1).cast("int"), F.least(F.greatest(F.col("x_hi") - F.col("x_lo"), F.lit(0)), F.lit(REACH)).cast("int")).alias("b"))
 
     def words(df: DataFrame, step: int, name: str) -> DataFrame:
         at = F.when(F.octet_length("b") >= k, F.sequence(F.lit(0), F.octet_length("b") - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
@@ -57,6 +64,23 @@ def gap_anchors(gaps: DataFrame, reads: DataFrame, genomes: DataFrame, k: int =
     return found.where(inside).select("read_id", "gid", "strand", "kind", "x_lo", "y_lo", x.alias("x"), y.alias("y"))
 
 
+def with_turned(gaps: DataFrame, reads: DataFrame) -> DataFrame:
+    """Gaps, and each inner one on the other strand as well (kind `turned`): an inversion lies there."""
+    lengths = reads.select("read_id", F.length("seq").cast("long").alias("len"))
+    other = gaps.where(F.col("kind") == INNER).join(lengths, "read_id")
+    other = other.select("read_id", "gid", (1 - F.col("strand")).alias("strand"), F.lit(TURNED).alias("kind"), "x_lo", "x_hi", (F.col("len") - F.col("y_hi")).alias("y_lo"), (F.col("len") - F.col("y_lo")).alias("y_hi"))
+    return gaps.unionByName(other)
+
+
+def on_better_strand(anchors: DataFrame) -> DataFrame:
+    """Anchors of each inner gap on the strand that has more of them (its own, of equals)."""
+    main = F.when(F.col("kind") == TURNED, 1 - F.col("strand")).otherwise(F.col("strand"))
+    by = Window.partitionBy("read_id", "gid", "x_lo", main, F.col("kind").isin(INNER, TURNED))
+    turned = F.sum(F.when(F.col("kind") == TURNED, 1).otherwise(0)).over(by)
+    kept = anchors.withColumn("n_turned", turned).withColumn("n_all", F.count("*").over(by))
+    return kept.where(~F.col("kind").isin(INNER, TURNED) | ((2 * F.col("n_turned") > F.col("n_all")) == (F.col("kind") == TURNED))).drop("n_turned", "n_all")
+
+
 def gap_scores(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
     """The numbers of `scores.gap_anchor_score` over arrays, on one strand."""
     e = truncated(100 * np.abs(dx - dy), np.maximum(dy, 50))
@@ -66,8 +90,8 @@ def gap_scores(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
 
 
 def gap_chains(anchors: DataFrame, params: ChainParams = ChainParams(depth=20, dx=80, best_n=20)) -> DataFrame:
-    """The best chain of each gap: read_id, gid, strand, kind, ord, x, y. A group is one gap's anchors."""
-    schema = "read_id long, gid int, strand int, kind string, ord int, x long, y long"
+    """The best chain of each gap: read_id, gid, strand, kind, x_lo, ord, x, y. A group is one gap's anchors."""
+    schema = "read_id long, gid int, strand int, kind string, x_lo long, ord int, x long, y long"
 
     def run(t: pa.Table) -> pa.Table:
         order = np.lexsort((t["y"].to_numpy(), -t["x"].to_numpy()))
@@ -76,11 +100,11 @@ def gap_chains(anchors: DataFrame, params: ChainParams = ChainParams(depth=20, d
         members = found[0][1] if found else []
         first = lambda name, kind: pa.array([t[name][0].as_py()] * len(members), kind)
         return pa.table(
-            [first("read_id", pa.int64()), first("gid", pa.int32()), first("strand", pa.int32()), first("kind", pa.string()), pa.array(range(1, len(members) + 1), pa.int32()), pa.array([int(x[m]) for m in members], pa.int64()), pa.array([int(y[m]) for m in members], pa.int64())],
+            [first("read_id", pa.int64()), first("gid", pa.int32()), first("strand", pa.int32()), first("kind", pa.string()), first("x_lo", pa.int64()), pa.array(range(1, len(members) + 1), pa.int32()), pa.array([int(x[m]) for m in members], pa.int64()), pa.array([int(y[m]) for m in members], pa.int64())],
             [c.split()[0] for c in schema.split(", ")],
         )
 
-    kept = anchors.select(F.col("read_id").cast("long"), F.col("gid").cast("int"), F.col("strand").cast("int"), "kind", "x_lo", "y_lo", F.col("x").cast("long"), F.col("y").cast("long"))
+    kept = anchors.select(F.col("read_id").cast("long"), F.col("gid").cast("int"), F.col("strand").cast("int"), "kind", F.col("x_lo").cast("long").alias("x_lo"), "y_lo", F.col("x").cast("long"), F.col("y").cast("long"))
     return kept.groupBy("read_id", "gid", "strand", "kind", "x_lo", "y_lo").applyInArrow(run, schema)
 
 
