@@ -122,6 +122,21 @@ def apf_rows(cords: DataFrame) -> DataFrame:
     return cords.select("read_id", "block_id", "ord", F.col("y1").alias("y"), F.col("x1").alias("x"), step("y1").alias("dy"), step("x1").alias("dx"), "strand")
 
 
+def apf_text(cords: DataFrame, reads: DataFrame, genomes: DataFrame) -> DataFrame:
+    """read_id, block_id, ord, value: for each block a line `@ read length ystart yend strand genome length xstart xend` (strand: of most of its cords, the first's if even),
+    then a line `| y x dy dx strand` for each cord."""
+    by = Window.partitionBy("read_id", "block_id")
+    named = cords.join(reads.select("read_id", F.col("name").alias("rname"), F.length("seq").alias("rlen")), "read_id").join(genomes.select("gid", F.col("name").alias("gname"), F.length("seq").alias("glen")), "gid")
+    ones, n = F.sum(F.col("strand")).over(by), F.count("*").over(by)
+    first = F.first("strand").over(by.orderBy("ord"))
+    sign = F.when(2 * ones > n, "-").when((2 * ones == n) & (first == 1), "-").otherwise("+")
+    whole = named.withColumns({"sign": sign, "ys": F.first("y1").over(by.orderBy("ord")), "xs": F.first("x1").over(by.orderBy("ord")), "place": F.row_number().over(by.orderBy("ord")), "ye": F.max("y2").over(by), "xe": F.max("x2").over(by)})
+    heads = whole.where("place = 1").select("read_id", "block_id", F.lit(0).cast("long").alias("ord"), F.concat_ws(" ", F.lit("@"), "rname", "rlen", "ys", F.least("ye", "rlen"), "sign", "gname", "glen", "xs", F.least("xe", "glen")).alias("value"))
+    rows = apf_rows(cords)
+    own = rows.select("read_id", "block_id", F.col("ord").cast("long").alias("ord"), F.concat_ws(" ", F.lit("|"), "y", "x", "dy", "dx", F.when(F.col("strand") == 1, "-").otherwise("+")).alias("value"))
+    return heads.unionByName(own)
+
+
 def sequence_by_cigar(cigar: Column, genome: Column, read: Column) -> Column:
     """The SEQ of a virtual alignment: = and M give genome bases, I and S the read's, X the read's where it differs from the genome's and else N; D only moves on.
 

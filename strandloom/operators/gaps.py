@@ -90,14 +90,24 @@ def gap_scores(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
 
 
 def gap_chains(anchors: DataFrame, params: ChainParams = ChainParams(depth=20, dx=80, best_n=20)) -> DataFrame:
-    """The best chain of each gap: read_id, gid, strand, kind, x_lo, ord, x, y. A group is one gap's anchors."""
+    """The best chain of each gap, and by falling score the others of two anchors or more that lie wholly before or after those taken: read_id, gid, strand, kind, x_lo, ord, x, y.
+
+    So both sides of an insertion or a deletion inside a gap are there, and where it begins and ends is where they meet. A group is one gap's anchors.
+    """
     schema = "read_id long, gid int, strand int, kind string, x_lo long, ord int, x long, y long"
 
     def run(t: pa.Table) -> pa.Table:
         order = np.lexsort((t["y"].to_numpy(), -t["x"].to_numpy()))
         x, y = t["x"].to_numpy()[order], t["y"].to_numpy()[order]
         found = best_chains(x, y, params, gap_scores)
-        members = found[0][1] if found else []
+        members: list[int] = []
+        spans: list[tuple[int, int, int, int]] = []
+        for _, chain in found:
+            own = x[chain].min(), x[chain].max(), y[chain].min(), y[chain].max()
+            if not spans or (len(chain) > 1 and all((own[0] > b and own[2] > d) or (own[1] < a and own[3] < c) for a, b, c, d in spans)):
+                spans.append(own)
+                members += chain
+        members.sort(key=lambda m: (y[m], x[m]))
         first = lambda name, kind: pa.array([t[name][0].as_py()] * len(members), kind)
         return pa.table(
             [first("read_id", pa.int64()), first("gid", pa.int32()), first("strand", pa.int32()), first("kind", pa.string()), first("x_lo", pa.int64()), pa.array(range(1, len(members) + 1), pa.int32()), pa.array([int(x[m]) for m in members], pa.int64()), pa.array([int(y[m]) for m in members], pa.int64())],

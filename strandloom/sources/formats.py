@@ -60,21 +60,94 @@ def read_whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source_file, name, seq of plain FASTA, split between records by the reader itself, so a large file is read by many tasks."""
-    rows = spark.read.option("lineSep", ">").text(paths).select(F.col("_metadata.file_path").alias("source_file"), "value").where(F.trim("value") != "")
+    """source_file, name, seq of FASTA, split between records by the reader itself, so a large plain file is read by many tasks. A `>` inside a line is part of that line."""
+    return fasta_records(spark.read.option("lineSep", "\n>").text(paths))
+
+
+def fasta_records(rows: DataFrame) -> DataFrame:
+    """source_file, name, seq of text cut at each `>` that begins a line; on a table and on a stream."""
+    each = rows.select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     name = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    return rows.select("source_file", name.alias("name"), clean(F.regexp_replace(F.substr("value", F.length(name) + 1), r"\s", "")).alias("seq"))
+    return each.select("source_file", name.alias("name"), clean(F.regexp_replace(F.substr("value", F.length(name) + 1), r"\s", "")).alias("seq"))
+
+
+def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """source_file, name, seq, quality of four-line FASTQ, plain files in splits, gzipped ones streamed.
+
+    A first pass counts the lines of each split, so the second knows which line of a record each is. Records that lie in one split are whole at once; only
+    the few lines beside the splits' borders are shuffled to meet.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    first: dict[tuple[str, int], int] = {}
+    upto: dict[str, int] = {}
+    for file, start, n in lines.groupBy("file", "start").count().orderBy("file", "start").collect():  # a row a split
+        first[file, start] = upto.get(file, 0)
+        upto[file] = first[file, start] + n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held = None, 0, []
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["file", "record", "line", "lines"])
+
+        for batch in batches:
+            done = []
+            for file, start, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, start) != now:
+                    if held:
+                        done.append((now[0], number // 4, number % 4 - len(held), held))
+                    now, number, held = (file, start), first[file, start], []
+                held.append(value)
+                number += 1
+                if number % 4 == 0:
+                    done.append((file, number // 4 - 1, 4 - len(held), held))
+                    held = []
+            if done:
+                yield rows(done)
+        if held:
+            yield rows([(now[0], number // 4, number % 4 - len(held), held)])
+
+    parts = lines.mapInArrow(run, "file string, record long, line int, lines array<string>")
+    whole = parts.where(F.size("lines") == 4)
+    broken = parts.where(F.size("lines") < 4).groupBy("file", "record").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line", "lines"))), lambda p: p["lines"])).alias("lines"))
+    each = whole.select("file", "lines").unionByName(broken.select("file", "lines")).where("size(lines) >= 2 and lines[0] like '@%'")
+    return each.select(F.col("file").alias("source_file"), F.substr(F.trim(F.col("lines")[0]), F.lit(2)).alias("name"), clean(F.trim(F.col("lines")[1])).alias("seq"), F.trim(F.get("lines", F.lit(3))).alias("quality"))
+
+
+def is_fastq(path: str) -> bool:
+    return path.removesuffix(".gz").endswith((".fq", ".fastq"))
+
+
+def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """source_file, name, seq of FASTA and FASTQ files, told apart by their names."""
+    fastq, fasta = [p for p in paths if is_fastq(p)], [p for p in paths if not is_fastq(p)]
+    parts = [read_fastq(spark, fastq).drop("quality")] if fastq else []
+    parts += [read_fasta(spark, fasta)] if fasta else []
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def missing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Paths (or patterns) that match nothing."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def found(path: str) -> bool:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        status = at.getFileSystem(conf).globStatus(at)
+        return status is not None and len(status) > 0
+
+    return [p for p in paths if not found(p)]
 
 
 def genomes_of(records: DataFrame) -> DataFrame:
-    """gid (1 on, in order of file and name), name cut at the first space, seq, len."""
+    """gid (1 on, in order of file and name), name cut at the first space, seq, len. Only names are numbered in one place, sequences are joined to their numbers."""
     named = records.select("source_file", F.substring_index("name", " ", 1).alias("name"), "seq")
-    return named.withColumn("gid", F.row_number().over(Window.orderBy("source_file", "name"))).select("gid", "name", "seq", F.length("seq").alias("len"))
+    numbers = named.select("source_file", "name").distinct().withColumn("gid", F.row_number().over(Window.orderBy("source_file", "name")))
+    return named.join(numbers, ["source_file", "name"]).select("gid", "name", "seq", F.length("seq").alias("len"))
 
 
 def reads_of(records: DataFrame) -> DataFrame:
-    """read_id (unique, not gapless), source_file, name (whole), seq; quality is dropped."""
-    return records.select(F.monotonically_increasing_id().alias("read_id"), "source_file", "name", "seq")
+    """read_id (a hash of file, name and sequence, the same in every evaluation; equal reads of one file and name are one), source_file, name (whole), seq; quality is dropped."""
+    return records.select(F.xxhash64("source_file", "name", "seq").alias("read_id"), "source_file", "name", "seq")
 
 
 def read_tabular(spark: SparkSession, paths: list[str], schema: str, comment: str = "#") -> DataFrame:
@@ -108,12 +181,12 @@ def fasta_text(seqs: DataFrame, width: int = 80) -> DataFrame:
     return seqs.select(F.concat(F.lit(">"), "name", F.lit("\n"), F.regexp_replace("seq", f"(.{{1,{width}}})", "$1\n")).alias("value"))
 
 
-def write_lines(rows: DataFrame, path: str, order: list[str], header: list[str] | None = None) -> None:
+def write_lines(rows: DataFrame, path: str, order: list[str], header: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Sorted text parts in one folder; a header is a part of its own that sorts first."""
     body = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select("value")
     if header:
-        rows.sparkSession.createDataFrame([(h,) for h in header], "value string").coalesce(1).write.text(f"{path}/header")
-    body.write.text(f"{path}/records")
+        rows.sparkSession.createDataFrame([(h,) for h in header], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    body.write.mode(mode).text(f"{path}/records")
 
 
 def gvf_text(variants: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.config import BinParams, ChainParams, gap_length, preset
 from strandloom.functions import sequences as S
 from strandloom.operators import alignments, anchors, blocks, chains, composition, scores, seeds
-from strandloom.plans import mapping, queries
+from strandloom.plans import gap_queries, mapping, queries  # noqa: F401
 from strandloom.sources import formats
 from strandloom.streaming import runs
 
@@ -251,9 +251,10 @@ def test_command_line_writes_sam_and_bam(spark, tmp_path):
     genome = "".join(r.choice(list("ACGT"), 8000))
     (tmp_path / "g.fa").write_text(f">chrA x\n{genome}\n")
     (tmp_path / "r.fq").write_text("".join(f"@r{k}\n{genome[k * 500 : k * 500 + 4000]}\n+\n{'I' * 4000}\n" for k in range(4)))
-    main([str(tmp_path / "r.fq"), str(tmp_path / "g.fa"), "-o", str(tmp_path / "out"), "-f", "blocks,sam,bam"])
-    text = sorted(x["value"] for x in spark.read.text(str(tmp_path / "out" / "sam" / "records")).collect())
-    data = gzip.decompress((tmp_path / "out" / "records.bam").read_bytes())
+    assert main([str(tmp_path / "r.fq"), str(tmp_path / "g.fa"), "-o", str(tmp_path / "out"), "-f", "blocks,sam,bam,apf"]) == 0
+    assert main([str(tmp_path / "no.fq"), "x", str(tmp_path / "g.fa"), "-o", str(tmp_path / "out")]) == 3 and main(["a", "b", "c", "-o", "d"]) == 2
+    text = sorted(x["value"] for x in spark.read.text(str(tmp_path / "out" / "r" / "sam" / "records")).collect())
+    data = gzip.decompress((tmp_path / "out" / "r" / "records.bam").read_bytes())
     assert data[:4] == b"BAM\1"
     at = 8 + struct.unpack_from("<i", data, 4)[0]
     assert struct.unpack_from("<i", data, at)[0] == 1
@@ -265,7 +266,7 @@ def test_command_line_writes_sam_and_bam(spark, tmp_path):
         found.append((data[at + 36 : at + 35 + n_name].decode(), flag, pos + 1, mapq, n_seq))
         at += 4 + size
     assert sorted(found) == sorted((f[0], int(f[1]), int(f[3]), int(f[4]), len(f[9])) for f in (x.split("\t") for x in text)) and len(found) >= 4
-    assert spark.read.parquet(str(tmp_path / "out" / "blocks")).count() >= 4
+    assert spark.read.parquet(str(tmp_path / "out" / "r" / "blocks")).count() >= 4
 
 
 def test_exact_alignment(spark):
@@ -321,3 +322,118 @@ def test_windows_extend_along_the_diagonal(spark):
     read = genome[160:1760] + "".join(r.choice(list("ACGT"), 800))
     found = gaps.extended(spark.createDataFrame([(1, 160, 0, genome, read), (2, 0, 0, "", ""), (3, 0, 0, None, "A")], "start_id long, x long, y long, genome string, read string")).collect()
     assert {f["start_id"] for f in found} == {1} and all(f["x"] - f["y"] == 160 for f in found) and max(f["y"] for f in found) >= 1500
+
+
+def test_fastq_in_splits(spark, tmp_path):
+    r = np.random.default_rng(8)
+    rows = [(f"r{k} x>y", "".join(r.choice(list("ACGT"), int(r.integers(1, 60))))) for k in range(400)]
+    quality = lambda q, k: ("@" if k % 3 else "+") + "I" * (len(q) - 1)
+    (tmp_path / "a.fastq").write_text("".join(f"@{n}\n{q}\n+\n{quality(q, k)}\n" for k, (n, q) in enumerate(rows)))
+    (tmp_path / "b.fq").write_text("".join(f"@{n}b\n{q}\n+\n{quality(q, k)}\n" for k, (n, q) in enumerate(rows[:50])))
+    with gzip.open(tmp_path / "c.fq.gz", "wt") as f:
+        f.write("@z\nACGN\n+\nIIII")
+    (tmp_path / "d.fa").write_text("".join(f">{n}\n{q}\n{q}\n" for n, q in rows))
+    old, spread = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = formats.read_fastq(spark, [str(tmp_path / n) for n in ("a.fastq", "b.fq", "c.fq.gz")])
+        assert got.rdd.getNumPartitions() > 20
+        assert sorted((x["name"], x["seq"], x["quality"]) for x in got.collect()) == sorted([(n, q, quality(q, k)) for k, (n, q) in enumerate(rows)] + [(n + "b", q, quality(q, k)) for k, (n, q) in enumerate(rows[:50])] + [("z", "ACGN", "IIII")])
+        fasta = formats.read_fasta(spark, [str(tmp_path / "d.fa")])
+        assert sorted((x["name"], x["seq"]) for x in fasta.collect()) == sorted((n, q + q) for n, q in rows)
+        both = formats.read_sequences(spark, [str(tmp_path / "b.fq"), str(tmp_path / "d.fa")])
+        assert both.count() == 450 and formats.reads_of(both).select("read_id").distinct().count() == 450
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", spread)
+    assert formats.missing(spark, [str(tmp_path / "*.fq"), str(tmp_path / "none")]) == [str(tmp_path / "none")]
+
+
+def test_variants_are_found_with_both_ends(spark):
+    r = np.random.default_rng(5)
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    genome = "".join(r.choice(list("ACGT"), 20_000))
+    part, new = genome[3000:9000], "".join(r.choice(list("ACGT"), 2000))
+    noisy = lambda s: "".join("ACGT"[r.integers(4)] if r.random() < 0.04 else c for c in s)
+    planted = {f"del{n}": genome[3000:6000] + genome[6000 + n : 9000 + n] for n in (120, 500, 1000, 2000)}
+    planted |= {f"ins{n}": part[:3000] + new[:n] + part[3000:] for n in (120, 300, 1000, 2000)}
+    planted |= {f"inv{n}": part[:2500] + turn(part[2500 : 2500 + n]) + part[2500 + n :] for n in (200, 800, 2000)}
+    names = [*planted, *planted]
+    reads = spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate([*planted.items(), *((n, turn(noisy(s))) for n, s in planted.items())])], "read_id long, name string, seq string")
+    out = mapping.map_reads(reads, spark.createDataFrame([(1, "g", genome)], "gid int, name string, seq string"))
+    cords = {}
+    for c in out.cords.collect():
+        cords.setdefault(c["read_id"], []).append(c)
+    for k, name in enumerate(names):
+        length, kind, n = len(planted[name]), name[:3], int(name[3:])
+        main = int(k >= len(planted))
+        forward = [((c["y1"], c["y2"]) if c["strand"] == 0 else (length - c["y2"], length - c["y1"]), (c["x1"], c["x2"]), c["strand"]) for c in cords[k]]
+        if main:
+            forward = [((length - b, length - a), x, s) for (a, b), x, s in forward]  # the read as it was before it was turned
+        own = [(y, x) for y, x, s in forward if s == main]
+        if kind == "inv":
+            y, x = zip(*[(y, x) for y, x, s in forward if s != main])
+            ends = {"y_lo": (min(a for a, _ in y), 2500), "y_hi": (max(b for _, b in y), 2500 + n), "x_lo": (min(a for a, _ in x), 5500), "x_hi": (max(b for _, b in x), 5500 + n)}
+        else:
+            at = 3000 if kind == "del" else 3000 + n / 2
+            left, right = [c for c in own if sum(c[0]) / 2 < at], [c for c in own if sum(c[0]) / 2 >= at]
+            ends = {"x_left": (max(c[1][1] for c in left), 6000), "x_right": (min(c[1][0] for c in right), 6000 + n * (kind == "del")), "y_left": (max(c[0][1] for c in left), 3000), "y_right": (min(c[0][0] for c in right), 3000 + n * (kind == "ins"))}
+        assert all(abs(a - b) <= 30 for a, b in ends.values()), (name, main, ends)
+
+
+def test_chains_that_cover_a_read(spark):
+    reads = spark.createDataFrame([(1, "A" * 3000)], "read_id long, seq string")
+    row = lambda c, s, x, y, score: [(1, 1, s, c, score, k, x + 100 * k, y + 100 * k) for k in range(5)]
+    table = spark.createDataFrame([*row(1, 0, 0, 0, 900), *row(2, 0, 5000, 100, 800), *row(3, 0, 9000, 50, 300), *row(4, 1, 700, 1500, 200), *row(5, 0, 1, 2500, 20)], chains.CHAIN_SCHEMA)
+    got = {r["chain_id"]: r["rank"] for r in chains.covering_chains(table, reads).collect()}
+    assert got == {1: 1, 2: 2, 4: 3}  # 3 lies under the best and is far weaker, 5 is too weak
+
+
+def test_chains_of_blocks(spark):
+    r = np.random.default_rng(3)
+    rows = [(1, k, int(r.integers(2)), int(x), int(x) + 200, int(y), int(y) + 180, int(r.integers(1, 60))) for k, (x, y) in enumerate(zip(r.integers(0, 6000, 14), r.integers(0, 6000, 14)))]
+    table = spark.createDataFrame(rows, "read_id long, block_id long, strand long, xstart long, xend long, ystart long, yend long, score long")
+    got = chains.chain_blocks(table).collect()
+
+    def best(i):  # over all ways to go on from a block
+        later = [chains.block_step_score(q[3] - rows[i][4], q[5] - rows[i][6], q[2] == rows[i][2]) + best(j) for j, q in enumerate(rows) if chains.block_step_score(q[3] - rows[i][4], q[5] - rows[i][6], q[2] == rows[i][2]) > 0]
+        return rows[i][7] + max(later, default=0)
+
+    assert max(c["chain_score"] for c in got) == max(best(i) for i in range(len(rows)))
+    assert sorted(c["block_id"] for c in got) == list(range(14))  # chains share no block
+    steps = table.selectExpr("xstart - 3000 as dx", "ystart - 3000 as dy", "strand = 1 as same").withColumn("s", scores.block_score(F.col("dx"), F.col("dy"), F.col("same"))).collect()
+    assert [q["s"] for q in steps] == [chains.block_step_score(q["dx"], q["dy"], q["same"]) for q in steps]
+
+
+def test_points_that_step_back(spark):
+    rows = [(1, 1, 1, 0, 0), (1, 1, 2, 100, 90), (1, 1, 3, 60, 100), (1, 1, 4, 90, 80), (1, 1, 5, 30, 20), (1, 1, 6, 200, 180), (1, 2, 7, 5, 5), (1, 3, 8, 7, 7), (1, 3, 9, 8, 8)]
+    table = spark.createDataFrame([(*q, 9000) for q in rows], "read_id long, block_id long, ord long, x long, y long, len long")
+    assert sorted(q["ord"] for q in chains.without_steps_back(table).collect()) == [1, 2, 5, 6, 8, 9]
+
+
+def test_apf_text(spark):
+    cords = spark.createDataFrame([(1, 1, 7, 1, 0, 10, 106, 5, 101), (1, 2, 7, 1, 0, 60, 156, 45, 141), (1, 3, 8, 1, 1, 500, 596, 300, 396)], "read_id long, ord long, block_id int, gid int, strand int, x1 long, x2 long, y1 long, y2 long")
+    reads = spark.createDataFrame([(1, "r", "A" * 350)], "read_id long, name string, seq string")
+    genomes = spark.createDataFrame([(1, "g", "C" * 700)], "gid int, name string, seq string")
+    got = [q["value"] for q in alignments.apf_text(cords, reads, genomes).orderBy("read_id", "block_id", "ord").collect()]
+    assert got == ["@ r 350 5 141 + g 700 10 156", "| 5 10 0 0 +", "| 45 60 40 50 +", "@ r 350 300 350 - g 700 500 596", "| 300 500 0 0 -"]
+
+
+def test_lines_of_a_stream(spark, tmp_path):
+    r = np.random.default_rng(9)
+    genome = "".join(r.choice(list("ACGT"), 6000))
+    os.makedirs(tmp_path / "in")
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.fa").write_text(f">r{k} a>b\n{genome[k * 1000 : k * 1000 + 3000]}\n")
+    genomes = spark.createDataFrame([(1, "g", genome)], "gid int, name string, seq string")
+    shown = []
+    listener = runs.Progress(shown.append)
+    spark.streams.addListener(listener)
+    try:
+        runs.map_stream_lines(spark, runs.fasta_stream(spark, str(tmp_path / "in"), 1), genomes, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    finally:
+        spark.streams.removeListener(listener)
+    lines = [q["value"].split("\t") for q in spark.read.text(str(tmp_path / "out")).select("value").collect()]
+    assert sorted((x[0], x[1], x[2]) for x in lines) == [("r0 a>b", "0", "g"), ("r1 a>b", "0", "g")]
+    assert all(abs(int(x[3]) - 1 - 1000 * int(x[0][1])) < 30 for x in lines)
