@@ -509,6 +509,7 @@ def test_toxicity_on_held_out(spark, none):
 def test_decontamination_of_copies_and_paraphrases(spark, none):
     from strandloom.llm.decontam import repeats, without_repeats
 
+    rng.seed(21)  # the same texts whichever tests ran before
     items = [TEXT(n) + ". " + TEXT(6) + "." for n in (12, 30, 50, 25, 40)]
     special = [re.sub(r"\b\w+", lambda m: m[0] + f"q{k}" if rng.random() < 0.7 else m[0], t) for k, t in enumerate(items)]
 
@@ -525,6 +526,50 @@ def test_decontamination_of_copies_and_paraphrases(spark, none):
     assert repeats(docs.unionByName(docs), bench).count() == 4
 
 
+def test_weighted_subsequence_equals_plain_table():
+    from strandloom.llm.decontam import common_subsequence
+
+    r = random.Random(3)
+    weight = np.array([r.choice([1.0, 2.0, 3.5, 0.25]) for _ in range(9)] + [0.0])
+    for _ in range(200):
+        a, b = [r.randrange(9) for _ in range(r.randrange(1, 14))], [r.randrange(-1, 9) for _ in range(r.randrange(1, 14))]
+        table = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (weight[x] if x == y else -1))
+        assert abs(common_subsequence(a, b, weight)[0] - table[-1][-1]) < 1e-9
+
+
+def test_recall_of_latent_candidates(spark, monkeypatch):
+    """Against all pairs of passages and items: the same checks without the cosine."""
+    from strandloom.llm import decontam
+
+    r = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "ka lo mi nu pe ra si to".split() for b in "an bel cor dis eth fin gro hul".split() for c in "as em ir ok".split()]
+    text = lambda n: " ".join(r.choice(words) if r.random() < 0.6 else r.choice(words[:30]) for _ in range(n))
+    items = [text(r.randint(12, 60)) + ". " + text(6) + "." for _ in range(150)]
+
+    def paraphrase(t):
+        share, out = r.uniform(0, 0.45), []
+        for w in t.split():
+            k = r.random()
+            out += [w] if k > share else [] if k < share / 3 else [r.choice(words)] if k < 2 * share / 3 else [w, r.choice(words)]
+        return " ".join(out)
+
+    texts = [text(r.randint(20, 300)) for _ in range(300)] + [f"{text(r.randint(0, 120))} {paraphrase(r.choice(items))} {text(r.randint(0, 80))}" for _ in range(500)]
+    docs = spark.createDataFrame(rows(texts), DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    pairs = lambda: {(q["doc_id"], q["item_id"]) for q in decontam.repeats(docs, bench).collect()}
+    found = pairs()
+    monkeypatch.setattr(decontam, "COSINE", -2.0)
+    truth = pairs()
+    assert found <= truth and len(found) >= 0.95 * len(truth) and 250 < len(truth) < 520
+    assert all(d >= 300 for d, _ in truth)
+    monkeypatch.setattr(decontam, "COSINE", 0.25)
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 6_000)  # several blocks
+    assert len(pairs() & truth) >= 0.95 * len(truth)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
