@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRIGGERS = r"(?i)licen[cs]e|copyright|redistribut|permission|warrant|all[^a-z0-9]+rights|public[^a-z0-9]+domain|as[^a-z0-9]+is"
+TRIGGERS = r"(?i)licen[cs]e|mozilla|copyright|redistribut|permission|warrant|all[^a-z0-9]+rights|public[^a-z0-9]+domain|as[^a-z0-9]+is"
 
 # Known licence sentences, normalised; {v} and {k} stand for the versions and kinds below.
 SENTENCES = {
@@ -46,6 +46,14 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-free-{g}": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {g} of the license or at your option any later version",
+    "agpl-free-{g}": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version {g} of the license or at your option any later version",
+    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost": "boost software license version 1 0 august 17th 2003",
+    "zlib-asis": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "rights": "all rights reserved",
     "public-domain": "this work is in the public domain",
 }
@@ -61,7 +69,8 @@ OTHER_WORDINGS = {
 }
 PORTS = {"1 0": "generic", "2 0": "generic", "2 5": "generic", "3 0": "unported", "4 0": "international"}
 KINDS = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
-VERSIONS = {"v": ("1 0", "1 1", "2 0"), "g": ("1", "2", "3"), "k": ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), "c": ("1 0", "2 0", "2 5", "3 0", "4 0")}
+GPL = ("1", "2", "3")
+VERSIONS = {"v": ("1 0", "1 1", "2 0"), "g": ("1", "2", "2 1", "3"), "k": ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), "c": ("1 0", "2 0", "2 5", "3 0", "4 0")}
 
 
 def known_sentences() -> dict[str, str]:
@@ -92,15 +101,22 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
         *(("BSD-3-Clause", seq) for seq in (("bsd-form", "-", "bsd-source", "-", "bsd-binary", "-", "bsd-names"), ("bsd-form", "bsd-source", "bsd-binary", "bsd-names"))),
         *(("BSD-2-Clause", seq) for seq in (("bsd-form", "-", "bsd-source", "-", "bsd-binary"), ("bsd-form", "bsd-source", "bsd-binary"))),
         ("Apache-2.0", ("apache-ref-2.0", "apache-use", "apache-copy", "apache-basis", "apache-see")),
-        *((f"GPL-{g}.0-or-later", (f"gpl-free-{g}", "gpl-hope")) for g in VERSIONS["g"]),
+        *((f"GPL-{g}.0-or-later", (f"gpl-free-{g}", "gpl-hope")) for g in GPL),
         *((f"Apache-{v.replace(' ', '.')}", (f"apache-ref-{v.replace(' ', '.')}",)) for v in VERSIONS["v"]),
         ("Apache-2.0", ("apache-header",)),
         ("MIT", ("mit-ref",)),
         ("MIT", ("mit-ref-2",)),
         ("MIT", ("mit-title",)),
-        *((f"GPL-{g}.0-only", (f"gpl-ref-{g}",)) for g in VERSIONS["g"]),
-        *((f"GPL-{g}.0-or-later", (f"gpl-free-{g}",)) for g in VERSIONS["g"]),
+        *((f"GPL-{g}.0-only", (f"gpl-ref-{g}",)) for g in GPL),
+        *((f"GPL-{g}.0-or-later", (f"gpl-free-{g}",)) for g in GPL),
         *(("CC-" + n.removeprefix("cc-").removeprefix("work-").upper(), (n,)) for n in names if n.startswith("cc-")),
+        *((f"LGPL-{g.replace(' ', '.')}-or-later", (f"lgpl-free-{g.replace(' ', '.')}",)) for g in VERSIONS["g"]),
+        *((f"AGPL-{g}.0-or-later", (f"agpl-free-{g}",)) for g in ("3",)),
+        ("MPL-2.0", ("mpl-2", "mpl-copy")),
+        ("MPL-2.0", ("mpl-2",)),
+        ("Unlicense", ("unlicense",)),
+        ("BSL-1.0", ("boost",)),
+        ("Zlib", ("zlib-grant",)),
         ("BSD", ("bsd-form",)),
         ("ISC", ("isc-grant",)),
         ("Public-Domain", ("public-domain",)),

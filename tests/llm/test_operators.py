@@ -300,6 +300,14 @@ def test_license_rules(spark, docs, none):
     assert recognised(docs).count() == 0 and recognised(none).count() == 0
 
 
+def test_license_tables():
+    from strandloom.llm.licenses import TRIGGERS, known_sentences, rules
+
+    trigger = re.compile(TRIGGERS)
+    assert all(trigger.search(s) for s in known_sentences())  # so the filter drops no text with a known sentence
+    assert {x for _, seq in rules() for x in seq} - {"-"} <= set(known_sentences().values())
+
+
 def test_wrapped_license_texts(spark):
     import textwrap
 
@@ -310,10 +318,11 @@ def test_wrapped_license_texts(spark):
     mit = "\n\n".join(["MIT License", "Copyright (c) 2020 Someone", textwrap.fill(grant, 70), textwrap.fill("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 70), textwrap.fill('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', 70)])
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    more = ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "This is free and unencumbered software released into the public domain."]
     cc = "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."
-    cases = [apache, "".join(f" * {x}\r\n" for x in apache.split("\n")), mit, bsd, gpl, cc, "All\nrights\nreserved.", "The MIT License", "All rights.\nReserved.", "x\nLicensed under\n\nthe MIT license\ny", "we said all rights reserved"]
+    cases = [apache, "".join(f" * {x}\r\n" for x in apache.split("\n")), mit, bsd, gpl, cc, "All\nrights\nreserved.", "The MIT License", "All rights.\nReserved.", "x\nLicensed under\n\nthe MIT license\ny", "we said all rights reserved", *more]
     found = recognised(spark.createDataFrame(rows(cases), DOCS)).collect()
-    assert {(r["doc_id"], r["licence"], r["n_matches"]) for r in found} == {(0, "Apache-2.0", 1), (1, "Apache-2.0", 1), (2, "MIT", 1), (3, "BSD-2-Clause", 1), (4, "GPL-3.0-or-later", 1), (5, "CC-BY-SA-4.0", 1), (6, "All-Rights-Reserved", 1), (7, "MIT", 1), (9, "MIT", 1)}
+    assert {(r["doc_id"], r["licence"], r["n_matches"]) for r in found} == {(0, "Apache-2.0", 1), (1, "Apache-2.0", 1), (2, "MIT", 1), (3, "BSD-2-Clause", 1), (4, "GPL-3.0-or-later", 1), (5, "CC-BY-SA-4.0", 1), (6, "All-Rights-Reserved", 1), (7, "MIT", 1), (9, "MIT", 1), (11, "LGPL-2.1-or-later", 1), (12, "MPL-2.0", 1), (13, "Unlicense", 1)}
     assert {r["doc_id"]: r["identifiers"] for r in found}[9] == "->mit-ref-2>-"
 
 
