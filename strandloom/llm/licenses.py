@@ -48,7 +48,7 @@ SENTENCES = {
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "lgpl-free-{g}": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {g} of the license or at your option any later version",
     "agpl-free-{g}": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version {g} of the license or at your option any later version",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-2": "this source code form is subject to the terms of the mozilla public license v",
     "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "boost": "boost software license version 1 0 august 17th 2003",
@@ -112,7 +112,7 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
         *(("CC-" + n.removeprefix("cc-").removeprefix("work-").upper(), (n,)) for n in names if n.startswith("cc-")),
         *((f"LGPL-{g.replace(' ', '.')}-or-later", (f"lgpl-free-{g.replace(' ', '.')}",)) for g in VERSIONS["g"]),
         *((f"AGPL-{g}.0-or-later", (f"agpl-free-{g}",)) for g in ("3",)),
-        ("MPL-2.0", ("mpl-2", "mpl-copy")),
+        ("MPL-2.0", ("mpl-2", "-", "mpl-copy")),  # the version stands behind a full stop
         ("MPL-2.0", ("mpl-2",)),
         ("Unlicense", ("unlicense",)),
         ("BSL-1.0", ("boost",)),
