@@ -242,3 +242,26 @@ def extended(starts: DataFrame, params: FeatureParams = FeatureParams()) -> Data
 
     kept = starts.select(F.col("start_id").cast("long"), F.col("x").cast("long"), F.col("y").cast("long"), F.col("genome").cast("string"), F.col("read").cast("string"))
     return kept.mapInArrow(run, "start_id long, ord int, x long, y long")
+
+
+def extended_back(starts: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
+    """`extended` towards the start: the same walk over both sequences turned end to end, in their own coordinates. start_id, ord (1 is the nearest), x, y."""
+    c = F.col
+    lengths = starts.select(c("start_id").cast("long").alias("start_id"), F.length("genome").alias("gl"), F.length("read").alias("rl"))
+    turned = starts.select("start_id", (F.length("genome") - params.window - c("x")).alias("x"), (F.length("read") - params.window - c("y")).alias("y"), F.reverse("genome").alias("genome"), F.reverse("read").alias("read"))
+    found = extended(turned.where((c("x") >= 0) & (c("y") >= 0)), params).join(lengths, "start_id")
+    return found.select("start_id", "ord", (c("gl") - params.window - c("x")).alias("x"), (c("rl") - params.window - c("y")).alias("y"))
+
+
+def patched(pairs: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
+    """Windows between two cords: from the first on as far as composition agrees and the second isn't passed, then from the second back to where the others end.
+
+    pairs: start_id, x, y, x2, y2, genome, read on one strand. start_id, ord (along the read), x, y, side (left or right).
+    """
+    c = F.col
+    ends = pairs.select(c("start_id").cast("long").alias("start_id"), c("x").alias("x1"), c("y").alias("y1"), "x2", "y2")
+    right = extended(pairs, params).join(ends, "start_id").where((c("x") < c("x2")) & (c("y") < c("y2")))
+    last = ends.join(right.groupBy("start_id").agg(F.max("x").alias("mx"), F.max("y").alias("my")), "start_id", "left").select("start_id", F.coalesce("mx", "x1").alias("mx"), F.coalesce("my", "y1").alias("my"))
+    back = extended_back(pairs.select("start_id", c("x2").alias("x"), c("y2").alias("y"), "genome", "read"), params).join(last, "start_id").where((c("x") > c("mx")) & (c("y") > c("my")))
+    both = right.select("start_id", "x", "y", F.lit("left").alias("side")).unionByName(back.select("start_id", "x", "y", F.lit("right").alias("side")))
+    return both.withColumn("ord", F.row_number().over(Window.partitionBy("start_id").orderBy("y", "x"))).select("start_id", "ord", "x", "y", "side")

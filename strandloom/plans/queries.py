@@ -219,9 +219,7 @@ D_DIST = f"{D_DIMERS}, s AS (SELECT seq_id, cell, counts AS c1, lead(counts, 3)
 
 
 def distances(s: SparkSession, d: str) -> DataFrame:
-    f = features.dimer_features(reads(s, d), "read_id")
-    pairs = f.select(F.col("seq_id").alias("left_id"), F.col("cell").alias("left_cell"), F.col("seq_id").alias("right_id"), (F.col("cell") + 6).alias("right_cell"))
-    return features.window_distances(f, f, pairs).select(F.col("left_id").alias("seq_id"), F.col("left_cell").alias("cell"), "dist")
+    return features.step_distances(features.dimer_features(reads(s, d), "read_id"))
 
 
 define("window_distance", "seq_id:l cell:l dist:l", f"{D_DIST} => SELECT * FROM dist")(distances)

@@ -42,7 +42,47 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_runs(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+    assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_windows_by_join_equal_windows_by_order(spark):
+    from strandloom.operators import features
+
+    f = features.dimer_features(queries.reads(spark, SF).limit(20), "read_id").persist()
+    pairs = f.select(F.col("seq_id").alias("left_id"), F.col("cell").alias("left_cell"), F.col("seq_id").alias("right_id"), (F.col("cell") + 6).alias("right_cell"))
+    joined = features.window_distances(f, f, pairs).select(F.col("left_id").alias("seq_id"), F.col("left_cell").alias("cell"), "dist")
+    assert plain(joined.toPandas()) == plain(features.step_distances(f).toPandas())
+
+
+def test_islands_by_median_equal_a_plain_loop(spark):
+    r = np.random.default_rng(7)
+    rows = [(int(k % 3), 1, 0, int(x), int(y)) for k, (x, y) in enumerate(zip(r.integers(0, 900, 150), r.integers(0, 900, 150)))]
+    got = {}
+    for q in chains.islands_by_median(spark.createDataFrame(rows, "read_id long, gid int, strand int, x long, y long")).collect():
+        got.setdefault(q["read_id"], []).append((q["x"] - q["y"], q["y"], q["x"], q["island"]))
+    for read, found in got.items():
+        found.sort()
+        island, begin = 1, 0
+        for i, (d, y, _, k) in enumerate(found):
+            if i > begin:
+                m = (begin + i) // 2
+                if d - found[m][0] >= abs(y - found[m][1]) // 4:
+                    island, begin = island + 1, i
+            assert k == island, (read, i)
+
+
+def test_sam_records_of_the_tables(spark):
+    """Every record's CIGAR spans its whole read, its place lies in its genome, and the reads are those of the plan's chains."""
+    import re
+
+    lengths = {f"read{q['read_id']}": len(q["seq"]) for q in queries.reads(spark, SF).collect()}
+    genomes = {q["name"]: len(q["seq"]) for q in queries.genomes(spark, SF).collect()}
+    records = [q["value"].split("\t") for q in queries.QUERIES["sam_records"](spark, SF).collect()]
+    assert records
+    for name, flag, genome, pos, mapq, cigar, *_ in records:
+        ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+        assert "".join(f"{n}{op}" for n, op in ops) == cigar and sum(n for n, op in ops if op in "=XIS") == lengths[name]
+        assert 1 <= int(pos) and int(pos) - 1 + sum(n for n, op in ops if op in "=XD") <= genomes[genome] and int(flag) & ~(2048 | 16) == 0 and mapq == "255"
 
 
 def test_finds_and_distances_over_whole_sequences(spark, tmp_path):
@@ -437,3 +477,23 @@ def test_lines_of_a_stream(spark, tmp_path):
     lines = [q["value"].split("\t") for q in spark.read.text(str(tmp_path / "out")).select("value").collect()]
     assert sorted((x[0], x[1], x[2]) for x in lines) == [("r0 a>b", "0", "g"), ("r1 a>b", "0", "g")]
     assert all(abs(int(x[3]) - 1 - 1000 * int(x[0][1])) < 30 for x in lines)
+
+
+def test_windows_from_both_cords(spark):
+    from strandloom.operators import gaps
+
+    r = np.random.default_rng(6)
+    genome = "".join(r.choice(list("ACGT"), 4000))
+    read = genome[:2000] + genome[2400:]  # 400 bases are missing
+    rows = [(1, 160, 160, 3600, 3200, genome, read), (2, 160, 160, 3600, 3600, genome, genome), (3, 160, 160, 1600, 1600, genome, "A" * 3000)]
+    table = spark.createDataFrame(rows, "start_id long, x long, y long, x2 long, y2 long, genome string, read string")
+    got = {}
+    for q in gaps.patched(table).orderBy("start_id", "ord").collect():
+        got.setdefault(q["start_id"], []).append((q["x"], q["y"], q["side"]))
+    left, right = ([(x, y) for x, y, s in got[1] if s == side] for side in ("left", "right"))
+    assert all(abs(x - y) <= 32 for x, y in left) and max(y for _, y in left) > 1700
+    assert all(abs(x - y - 400) <= 32 for x, y in right) and min(y for _, y in right) < 2300
+    assert all(abs(x - y) <= 32 for x, y, _ in got[2]) and len(got[2]) > 30 and 3 not in got
+    assert all(a[0] < b[0] and a[1] < b[1] for k in got for a, b in zip(got[k], got[k][1:]))
+    back = gaps.extended_back(table.where("start_id = 2").select("start_id", F.col("x2").alias("x"), F.col("y2").alias("y"), "genome", "read")).orderBy("ord").collect()
+    assert [q["ord"] for q in back] == list(range(1, len(back) + 1)) and back[-1]["y"] < 200 and all(a["y"] > b["y"] for a, b in zip(back, back[1:]))
