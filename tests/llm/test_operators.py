@@ -610,3 +610,26 @@ def test_pipeline_stages(spark):
 
     own = encoder(*public_vocabulary())
     assert all(own.decode(r["ids"]) == expected[d].encode() and r["round_trip"] and r["n_tokens"] == len(r["ids"]) for d, r in result.items())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, other columns with clashing names, and an empty table, through all stages one after another."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    a, b = TEXT(90), TEXT(70)
+    own = rows([a, b, None, "", a, "one"], 9_000_000) + rows([TEXT(40)], 9_000_010) * 2 + [(None, a, "en", "src", 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame(own, DOCS)
+    for name in ("score", "key", "label", "firsts", "item_id", "fp", "node", "tokens"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    columns, empty = docs.columns, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = stage(spark, docs, sf).persist(), stage(spark, empty, sf)
+        assert docs.columns == columns and empty.columns == columns and empty.count() == 0, name
+        ids = [r["doc_id"] for r in docs.collect()]
+        assert ids.count(9_000_010) == 2 and ids.count(None) == 2 and 9_000_001 in ids and 9_000_002 in ids, name
+        assert (9_000_004 in ids) == (name == "toxicity"), name  # a copy of 9000000, which stays
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id is not null").collect()}
+    assert texts[9_000_000] == a and texts[9_000_001] == b and 9_000_003 not in texts  # null and empty texts are copies
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(last) == len(ids) and all(r["round_trip"] for r in last)
