@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import BinParams, ChainParams, EngineParams
 from strandloom.functions import sequences as S
-from strandloom.operators import alignments, anchors, blocks, chains, composition, features, scores, seeds
+from strandloom.operators import alignments, anchors, blocks, chains, composition, exact, features, scores, seeds
 from strandloom.plans import mapping
 from strandloom.sources import formats
 from strandloom.streaming import runs
@@ -56,9 +56,9 @@ def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_text_distances(seqs: DataFrame) -> DataFrame:
     """doc_id, edit (to the sequence of the next id, null if there is none), hamming (to its own reverse complement), over whole sequences."""
-    following = seqs.select((F.col("read_id") - 1).alias("read_id"), F.col("seq").alias("next"))
-    pairs = seeds.spread(seqs).join(following, "read_id", "left")
-    return pairs.select(F.col("read_id").alias("doc_id"), S.edit_distance(F.col("seq"), F.col("next")).alias("edit"), S.hamming(F.col("seq"), S.reverse_complement(F.col("seq"))).alias("hamming"))
+    following = seqs.select((F.col("read_id") - 1).alias("id"), F.col("seq").alias("b"))
+    pairs = seeds.spread(seqs.select(F.col("read_id").alias("id"), F.col("seq").alias("a"))).join(following, "id", "left")
+    return exact.whole_distances(pairs).withColumnRenamed("id", "doc_id")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

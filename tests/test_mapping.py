@@ -115,6 +115,31 @@ def test_finds_and_distances_over_whole_sequences(spark, tmp_path):
     assert got == [(i, edit(texts[i], texts[i + 1]) if i < 3 else None, own[i]) for i in range(4)]
 
 
+def test_whole_edit_distances_equal_a_plain_loop(spark, monkeypatch):
+    from strandloom.operators import exact
+
+    r = np.random.default_rng(5)
+    word = lambda n, k=4: "".join("ACGT"[i] for i in r.integers(0, k, n))
+    texts = [(word(n), word(m, 2)) for n in (0, 1, 63, 64, 65, 128, 129) for m in (0, 1, 64, 65)] + [(t, t[:70] + t[75:] + "A") for t in (word(200), word(300))] + [("aé√x", "éx√"), (word(9), None), (None, word(9))]
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    other = dict(zip("ACGT", "TGCA", strict=True))
+    expected = [(i, None if a is None or b is None else edit(a, b), None if a is None else sum(x != other.get(y, y) for x, y in zip(a, a[::-1]))) for i, (a, b) in enumerate(texts)]
+    got = exact.whole_distances(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)], "id long, a string, b string")).collect()
+    assert sorted(map(tuple, got)) == expected
+    for words in (1, 7):
+        monkeypatch.setattr(exact, "WORDS", words)
+        whole = [(np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)) for a, b in texts[:-3]]
+        assert exact.edit_distances(whole).tolist() == [e for _, e, _ in expected[:-3]]
+
+
 def test_entry(spark):
     import __spark_entry__
 
