@@ -89,7 +89,7 @@ def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, cigar: an order's lines as operations."""
     l = T(spark, sf_dir, "lineitem")
     op = F.when(F.col("l_returnflag") == "R", "=").when(F.col("l_returnflag") == "A", "D").when(F.col("l_linestatus") == "F", "X").otherwise("I")
-    return l.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", op.alias("op"), F.floor("l_quantity").cast("long").alias("n")))).alias("a")).select("l_orderkey", F.transform("a", lambda x: F.struct(x["op"].alias("op"), x["n"].alias("n"))).alias("cigar"))
+    return l.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").isNull().alias("last"), "l_linenumber", op.alias("op"), F.floor("l_quantity").cast("long").alias("n")))).alias("a")).select("l_orderkey", F.transform("a", lambda x: F.struct(x["op"].alias("op"), x["n"].alias("n"))).alias("cigar"))
 
 
 DNA = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -284,7 +284,7 @@ define("main_strand", "user_id:l strand:l", f"{D_POINTS}, p AS (SELECT user_id,
 
 # alignments
 D_RUNS = f"{D_OPS}, fr AS (SELECT *, CASE WHEN lag(op) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, op, n) = op THEN 0 ELSE 1 END AS fresh FROM ops WHERE n > 0), rn AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, op, n ROWS UNBOUNDED PRECEDING) AS run FROM fr), rl AS (SELECT l_orderkey, run, op, sum(n) AS n FROM rn GROUP BY 1, 2, 3)"
-define("cigar_rle", "l_orderkey:l cigar:s", f"{D_RUNS} => SELECT l_orderkey, string_agg(CAST(n AS VARCHAR) || op, '' ORDER BY run) AS cigar FROM rl GROUP BY 1")(lambda s, d: cigars(s, d).select("l_orderkey", S.cigar_text(alignments.merged_runs(F.col("cigar"))).alias("cigar")))
+define("cigar_rle", "l_orderkey:l cigar:s", f"{D_RUNS} => SELECT l_orderkey, string_agg(CAST(n AS VARCHAR) || op, '' ORDER BY run) AS cigar FROM rl GROUP BY 1")(lambda s, d: cigars(s, d).select("l_orderkey", S.cigar_text(alignments.merged_runs(F.col("cigar"))).alias("cigar")).where("cigar <> ''"))
 define("run_lengths", "l_orderkey:l run:l op:s n:l", f"{D_RUNS} => SELECT * FROM rl")(lambda s, d: alignments.run_lengths(cigars(s, d).select("l_orderkey", F.posexplode("cigar").alias("ord", "e")).select("l_orderkey", "ord", "e.op", "e.n"), ["l_orderkey"]))
 define("cigar_lengths", "l_orderkey:l ref_len:l read_len:l", f"{D_OPS} => SELECT l_orderkey, sum(CASE WHEN op IN ('=', 'X', 'D') THEN n ELSE 0 END) AS ref_len, sum(CASE WHEN op IN ('=', 'X', 'I') THEN n ELSE 0 END) AS read_len FROM ops GROUP BY 1")(lambda s, d: cigars(s, d).select("l_orderkey", *[c.alias(n) for c, n in zip(S.cigar_lengths(F.col("cigar")), ("ref_len", "read_len"), strict=True)]))
 define("nm_sa_cigar", "l_orderkey:l nm:l sa_cigar:s", f"{D_OPS}, t AS (SELECT l_orderkey, sum(CASE WHEN op IN ('X', 'I', 'D') THEN n ELSE 0 END) AS nm, sum(CASE WHEN op IN ('=', 'X') THEN n ELSE 0 END) AS m, sum(CASE WHEN op = 'D' THEN n WHEN op = 'I' THEN -n ELSE 0 END) AS net FROM ops GROUP BY 1) => SELECT l_orderkey, nm, CASE WHEN m > 0 THEN CAST(m AS VARCHAR) || 'M' ELSE '' END || CASE WHEN net > 0 THEN CAST(net AS VARCHAR) || 'D' WHEN net < 0 THEN CAST(-net AS VARCHAR) || 'I' ELSE '' END AS sa_cigar FROM t")(lambda s, d: cigars(s, d).select("l_orderkey", alignments.edit_count(F.col("cigar")).alias("nm"), alignments.short_cigar(F.col("cigar")).alias("sa_cigar")))

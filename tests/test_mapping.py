@@ -156,6 +156,14 @@ def test_merged_blocks_of_equal_starts(spark, tmp_path):
     assert got == expected and len(got) == 6
 
 
+def test_runs_of_equal_lines_no_lengths_and_no_line_numbers(spark, tmp_path):
+    rows = [(1, 2, 30.0, 1.0, "A", "O"), (1, 2, 30.0, 2.0, "A", "O"), (1, 2, 27.0, 1.0, "A", "O"), (2, 1, 0.5, 1.0, "R", "O"), (3, None, 4.0, 1.0, "R", "O"), (3, 1, 5.0, 1.0, "A", "O"), (4, 1, None, 1.0, "R", "O")]
+    pairs = odd_lines(spark, tmp_path, rows)
+    for name, n in (("run_lengths", 3), ("cigar_rle", 2)):
+        got, expected = pairs(name)
+        assert got == expected and len(got) == n
+
+
 def test_repeats_count_words_beside_their_sequence(spark, monkeypatch):
     from collections import Counter
 
