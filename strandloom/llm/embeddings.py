@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ MARGIN = 0.5  # share of the worst case that probes cover
 SUBSPACES, CODES = 8, 64
 MEMBERS, QUERIES = 4096, 8192  # of one block
 SLACK = 1e-5  # for rounding in single precision
+ROUNDING = 1e-4  # of squared look-up distances: 16 at most, a term and a sum for each subspace
 
 
 def lists_for(n: int) -> int:
@@ -91,13 +93,16 @@ class ProductIndex:
         return np.nonzero(far - own <= 2 * self.margin * self.radius * self.apart[of] + SLACK)
 
     def near(self, queries: np.ndarray, at: int, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Candidates (query x member) by look-up distances in list `at`."""
+        """Candidates (member x query) by look-up distances in list `at`. The tables are in single precision: a member's row of them is copied whole; ROUNDING covers what that costs."""
         rest = queries - self.centers[at]
-        far = np.zeros((len(queries), len(codes)))
+        far = np.zeros((len(codes), len(queries)), np.float32)
+        row = np.empty_like(far)
         for i, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            to = ((rest[:, None, c] - b[None]) ** 2).sum(2)
-            far += to[:, codes[:, i]]
-        return far <= (self.radius + left + SLACK)[None] ** 2
+            part = rest[:, c]
+            to = (b**2).sum(1)[:, None] - 2 * (b @ part.T) + (part**2).sum(1)[None]
+            np.take(to.astype(np.float32), codes[:, i], axis=0, out=row, mode="clip")
+            far += row
+        return far <= ((self.radius + left + SLACK) ** 2 + ROUNDING).astype(np.float32)[:, None]
 
 
 def _kind(vectors: DataFrame) -> np.dtype:
@@ -121,11 +126,14 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
-            for row in batch.column(1).to_pylist():
-                x = np.array([np.nan if v is None else v for v in row or ()], kind) + kind.type(0)
-                keys.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["vec_id", "key"])
+            n = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind) + kind.type(0)  # null components become NaN
+            row = np.repeat(np.arange(len(n)), n)
+            some = lambda of: np.bincount(row[of], minlength=len(n)) > 0
+            ok = some(x != 0) & ~some(~np.isfinite(x))
+            begin = np.concatenate([[0], np.cumsum(np.where(ok, n, 0) * kind.itemsize)]).astype(np.int64)
+            keys = pa.Array.from_buffers(pa.large_binary(), len(n), [pa.py_buffer(np.packbits(ok, bitorder="little").tobytes()), pa.py_buffer(begin.tobytes()), pa.py_buffer(x[ok[row]].tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys.cast(pa.binary())], ["vec_id", "key"])
 
     kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding"))
     return kept.mapInArrow(run, "vec_id long, key binary").withColumn("width", F.length("key"))
@@ -211,13 +219,25 @@ def _of_one_width(rows: DataFrame, kind: np.dtype, n_bytes: int, threshold: floa
                     v = tree[v]
                 return v
 
+            def linked(ix: ProductIndex, x: np.ndarray, own: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+                """(which members, of which queries) of the links, by query. Where many are candidates all products are made at once; what they leave is decided pair by pair."""
+                near = ix.near(x, at, codes, left)
+                if np.count_nonzero(near) * 16 > near.size:
+                    near &= y @ x.T >= threshold - 1e-9
+                of, which = np.nonzero(near.T)
+                links = []
+                for i in range(0, len(of), 65_536):
+                    k, m = of[i : i + 65_536], which[i : i + 65_536]
+                    links.append(np.flatnonzero((np.einsum("ij,ij->i", y[m], x[k]) >= threshold) & (ids[m] != own[k])) + i)
+                kept = np.concatenate(links) if links else np.zeros(0, np.int64)
+                return which[kept], of[kept]
+
             step = max(1, 1_000_000 // len(members))
             for i in range(0, len(queries), step):
                 own, x = query_ids[i : i + step], unit(queries[i : i + step])
-                near = ix.near(x, at, codes, left)
-                for k in np.flatnonzero(near.any(1)).tolist():
-                    who = np.flatnonzero(near[k])
-                    who = who[(y[who] @ x[k] >= threshold) & (ids[who] != own[k])]
+                which, of = linked(ix, x, own, at)
+                for k, lo, hi in split_runs(of):
+                    who = which[lo:hi]
                     if len(who):
                         a, others = int(own[k]), ids[who].tolist()
                         top = root(a)

@@ -633,3 +633,30 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert texts[9_000_000] == a and texts[9_000_001] == b and 9_000_003 not in texts  # null and empty texts are copies
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert len(last) == len(ids) and all(r["round_trip"] for r in last)
+
+
+def test_embedding_candidates_of_single_precision_tables_hold_all_of_double_precision():
+    from strandloom.llm import embeddings
+
+    r = np.random.default_rng(12)
+    x = embeddings.unit(r.standard_normal((600, 24)))
+    index = embeddings.ProductIndex(x, 6, 0.95, 0.5)
+    y = x[embeddings.nearest(x, index.centers) == 2]
+    codes, left = index.encode(y, np.full(len(y), 2))
+    decoded = index.centers[2] + np.concatenate([b[codes[:, i]] for i, b in enumerate(index.books)], 1)
+    far = np.sqrt(((decoded[:, None] - x[None]) ** 2).sum(2))
+    near = index.near(x, 2, codes, left)
+    assert near.shape == far.shape and near[far <= (index.radius + left + embeddings.SLACK)[:, None]].all()
+    assert not near[far > (index.radius + left + 1e-3)[:, None]].any()
+
+
+def test_vectors_of_every_kind_have_the_keys_of_a_plain_loop(spark):
+    from strandloom.llm import embeddings
+
+    rows = [[1.0, 2.0], None, [], [0.0, -0.0], [0.0, 3.0, -0.0], [None, 1.0], [float("nan"), 1.0], [float("inf")], [2.5]]
+    for kind, dtype in (("float", np.float32), ("double", np.float64)):
+        got = embeddings.valid_vectors(spark.createDataFrame(list(enumerate(rows)), f"vec_id long, embedding array<{kind}>").coalesce(1)).collect()
+        for i, key, width in got:
+            x = np.array([np.nan if v is None else v for v in rows[i] or ()], dtype) + dtype(0)
+            expected = x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None
+            assert (bytes(key) if key is not None else None) == expected and width == (len(expected) if expected else None)
