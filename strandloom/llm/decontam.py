@@ -5,8 +5,7 @@
    repeat must hold SHARE of its item's weight (squared IDF of its words) in order, within the item's span; so a passage with no stretch of that span whose
    terms weigh as much as the lightest such item needs can hold none. Nor can one without any key term: an item's keys are its heaviest
    words, so many that without them less than SHARE is left. The other passages are stored as sequences of term numbers.
-3. A randomised SVD of the TF-IDF rows of the items and of the stored passages (by hash about FIT of them, if there are more: the basis is only an index, all
-   passages are searched): every task adds up a (a Omega) over its rows, Spark sums
+3. A randomised SVD of the TF-IDF rows of the items and of all stored passages: every task adds up a (a Omega) over its rows, Spark sums
    the products, the driver keeps an orthonormal basis (terms x RANK) and repeats this POWER times; a last sum gives the singular values.
 4. Each passage is compared with all items of its length by cosine in the latent space; pairs of at least COSINE are checked: the longest common
    subsequence by weight (SHARE of the item) and by words (WORD_SHARE), and, below SURE, the item's answer (column `answer`, or its last
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import stored, tidied
 
 ITEMS, ITEM_BYTES = 5_000, 8 << 20
-FIT = 65_536
 RANK, POWER, SEED = 96, 2, 20240101
 COSINE = 0.25
 SHARE, WORD_SHARE, SURE, ANSWER_SHARE = 0.6, 0.5, 0.8, 0.5
@@ -290,8 +288,7 @@ def _block(texts: DataFrame, rows: list) -> DataFrame:
     df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(tidied(_frequencies(items.terms)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the block's terms
     items.weigh(df, df.pop("", 0))
     found = stored(texts.mapInArrow(tidied(_passages(spark.sparkContext.broadcast(items))), "doc_id long, span int, first long, terms binary"), "passages")
-    share = FIT / max(FIT, found.count())
-    fit_basis(items, found.where(F.pmod(F.xxhash64("doc_id", "span", "first"), F.lit(1_000_000)) < share * 1_000_000))
+    fit_basis(items, found)
     return found.mapInArrow(tidied(_checked(spark.sparkContext.broadcast(items))), FOUND)
 
 

@@ -660,3 +660,15 @@ def test_vectors_of_every_kind_have_the_keys_of_a_plain_loop(spark):
             x = np.array([np.nan if v is None else v for v in rows[i] or ()], dtype) + dtype(0)
             expected = x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None
             assert (bytes(key) if key is not None else None) == expected and width == (len(expected) if expected else None)
+
+
+def test_decontamination_fits_its_basis_on_all_passages(spark, monkeypatch):
+    from strandloom.llm import decontam
+
+    item = "how many grey herons stood beside the frozen canal when the lantern went out. seventeen herons stood there."
+    docs = spark.createDataFrame([(i, f"note {i} {item} end {i}") for i in range(40)] + [(99, "nothing of the kind")], "doc_id long, text string")
+    seen, fit = [], decontam.fit_basis
+    monkeypatch.setattr(decontam, "FIT", 4, raising=False)
+    monkeypatch.setattr(decontam, "fit_basis", lambda items, passages: (seen.append(passages.count()), fit(items, passages)))
+    found = decontam.repeats(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).select("doc_id").distinct().count()
+    assert seen[0] >= 40 and found == 40
