@@ -3,7 +3,8 @@
 The last token of a prefix's encoding decides the rest: if t is that token, what comes before is the encoding of the prefix without t. So for
 each prefix, tokens that end there are tried, longest first, until one can stand beside the last token of the prefix it leaves; its
 count is one more than that prefix's. Two tokens can stand side by side if merging their characters gives just these two (worked
-out once a pair and kept). Counts of all prefixes are stored as one small difference a character.
+out once a pair and kept). Counts of all prefixes are stored as one small difference a character. The words of a batch go through
+these steps together, prefixes of 1 character first; long words and those after more than one mark go one by one.
 
 No piece but runs of the space mark has that mark after its first character, so a text falls into words that begin with the mark and
 don't affect one another, and a word's differences are worked out once. Runs of marks merge among themselves only after every
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import Memo, tidied
+from strandloom.llm.merges import Kept, Merges, Pairs, Trie, laid_out, portions
 
 MARK = "▁"
 LONGEST_KEPT = 48
@@ -53,9 +55,16 @@ class PrefixCounter:
         for piece in self.score:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.beside = Memo(self._beside, 400_000)
-        self.alone = Memo(lambda t: self.merged(t, self.score) == [t], 100_000)
-        self.kept = Memo(self.word, 400_000)
+        self.merges = Merges({p: -s for p, s in self.score.items()})
+        self.pieces = list(self.score)
+        letters = sorted({c for p in self.pieces for c in p})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
+        self.trie = Trie([self.letter[np.frombuffer(p.encode("utf-32-le"), np.uint32)].tolist() for p in self.pieces], len(letters))
+        self.pairs = Pairs(lambda a, b: self.merges.beside(self.pieces[a] if a >= 0 else "", self.pieces[b]), len(self.pieces))
+        self.beside = Memo(lambda pair: self.merges.beside(*pair), 100_000)
+        self.alone = Memo(lambda t: self.merges.beside("", t), 100_000)
+        self.kept = Kept(self.words_differences, 400_000)
         self.run_count = Memo(lambda n: len(self.merged(MARK * n, self.runs)), 100_000)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
@@ -95,8 +104,52 @@ class PrefixCounter:
                     heapq.heappush(heap, (-score[new], before[i], new))
         return [p for p in parts if p is not None]
 
-    def _beside(self, pair: tuple[str, str]) -> bool:
-        return self.merged(pair[0] + pair[1], self.score) == [*pair]
+    def words_differences(self, words: list[str]) -> list[bytes]:
+        """`word` of each: as columns those of one mark and up to LONGEST_KEPT characters, the others one by one."""
+        out: list[bytes] = [b""] * len(words)
+        together = []
+        for i, w in enumerate(words):
+            if 1 < len(w) <= LONGEST_KEPT and w[0] == MARK != w[1]:
+                together.append(i)
+            else:
+                out[i] = self.word(w)
+        if not together:
+            return out
+        joined = "\0".join([words[i] for i in together]) + "\0"
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts, ends, column = laid_out([len(words[i]) for i in together])
+        symbols = self.letter[code]
+        symbols[ends] = 0
+        # by length and column of their first characters, places and pieces that match there
+        found = []
+        for at, piece in self.trie.matches(symbols):
+            order = np.argsort(column[at].astype(np.uint8), kind="stable")
+            found.append((at[order], piece[order], np.concatenate([[0], np.cumsum(np.bincount(column[at], minlength=LONGEST_KEPT + 1))]).tolist()))
+        by_column = np.argsort(column.astype(np.uint8), kind="stable")
+        edge = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=LONGEST_KEPT + 2))]).tolist()
+        n_bytes = 1 + (code > 0x7F).astype(np.int16) + (code > 0x7FF) + (code > 0xFFFF)
+        last, count = np.full(len(code), -1, np.int32), np.zeros(len(code), np.int16)  # by place: of the prefix that ends before it
+        for end in range(1, int(column.max()) + 1):
+            here = by_column[edge[end] : edge[end + 1]]
+            count[here] = count[here - 1] + n_bytes[here - 1]  # stays where no piece ends with this character
+            for k in range(min(end, len(found)), 0, -1):
+                places, pieces, bounds = found[k - 1]
+                lo, hi = bounds[end - k], bounds[end - k + 1]
+                if lo == hi:
+                    continue
+                at, t = places[lo:hi], pieces[lo:hi]
+                open_ = last[at + k] < 0
+                at, t = at[open_], t[open_]
+                fits = self.pairs(last[at], t)
+                at, t = at[fits], t[fits]
+                last[at + k] = t
+                count[at + k] = count[at] + 1
+        table = np.diff(count, append=np.int16(0))
+        table[starts] = 1  # the mark
+        raw = table.astype(np.int8).tobytes()
+        for i, a, b in zip(together, starts.tolist(), ends.tolist(), strict=True):
+            out[i] = raw[a:b]
+        return out
 
     def word(self, word: str) -> bytes:
         """Differences of the counts of the prefixes of a run of marks and what follows it (without marks)."""
@@ -140,18 +193,27 @@ class PrefixCounter:
             before = c
         return bytes([d & 255 for d in out])
 
+    def differences_of(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text one number a character: what it adds to the count of tokens of the prefix before it."""
+        words = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        kept, known = self.kept, set().union(*words)
+        long = {w for w in known if len(w) > LONGEST_KEPT}
+        kept.fill(known - long if long else known)
+        out = []
+        for own in words:
+            if long and not long.isdisjoint(own):
+                table = b"".join([kept[w] if len(w) <= LONGEST_KEPT else self.word(w) for w in own])
+            else:
+                table = b"".join(map(kept.__getitem__, own))
+            d = np.frombuffer(table, np.int8)
+            if len(d):
+                d = d[1:].copy()  # the mark put before the text is no character of it
+                d[0] += table[0] if table[0] < 128 else table[0] - 256
+            out.append(d)
+        return out
+
     def differences(self, text: str) -> np.ndarray:
-        """One number a character of `text`: what it adds to the count of tokens of the prefix before it."""
-        if not text:
-            return np.zeros(0, np.int8)
-        kept = self.kept
-        words = self.words(MARK + text.replace(" ", MARK))
-        if max(map(len, words)) <= LONGEST_KEPT:
-            table = b"".join(map(kept.__getitem__, words))
-        else:
-            table = b"".join([kept[w] if len(w) <= LONGEST_KEPT else self.word(w) for w in words])
-        out = np.frombuffer(table, np.int8)
-        return np.concatenate([out[:2].sum(keepdims=True, dtype=np.int8), out[2:]])  # the mark put before the text is no character of it
+        return self.differences_of([text])[0]
 
     def counts(self, text: str) -> np.ndarray:
         """Tokens of each prefix, from the first character's on."""
@@ -178,10 +240,10 @@ def prefix_counts(docs: DataFrame, budget: int = 4096, model_file: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = counter(file)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                tables = [pieces.differences(t) for t in texts]
+            all_texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, end in portions(all_texts):
+                part, texts = batch.slice(i, end - i), all_texts[i:end]
+                tables = pieces.differences_of(texts)
                 tokens, within = [], []
                 for t in tables:
                     n = int(t.sum(dtype=np.int64))

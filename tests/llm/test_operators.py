@@ -275,6 +275,34 @@ def test_prefix_counts_equal_library(docs, none, texts):
     assert prefix_counts(none).count() == 0
 
 
+def test_prefix_counts_take_words_together(monkeypatch):
+    """Short words of one mark go as columns, with the differences that they have one by one; whether pieces stand beside one another is as the merges say."""
+    from strandloom.llm.token_counts import LONGEST_KEPT, MARK, PrefixCounter, public_model
+
+    own, r, alone = PrefixCounter(public_model()), random.Random(3), []
+    short = [MARK + "".join(r.choice("aeinrst.,é\nﬁ日\0\U0001f600") for _ in range(r.randint(1, LONGEST_KEPT - 1))) for _ in range(2000)] + [MARK + w for w in WORDS]
+    other = [MARK, MARK * 3, MARK * 2 + "ab", MARK + "abc" * 40]
+    expected = [own.word(w) for w in short + other]
+    monkeypatch.setattr(own, "word", lambda w, f=own.word: alone.append(w) or f(w))
+    assert own.words_differences(short + other) == expected and alone == other
+    pairs = [(r.choice(own.pieces), r.choice(own.pieces)) for _ in range(3000)]
+    pairs += [(p[:i], p[i:]) for p in r.sample(own.pieces, 2000) for i in range(1, len(p)) if p[:i] in own.score and p[i:] in own.score]
+    pairs += [(a + b, b) for a, b in zip(WORDS, WORDS[1:], strict=False)] + [("", p) for p in r.sample(own.pieces, 500)]
+    assert all(own.merges.beside(a, b) == (own.merged(a + b, own.score) == [x for x in (a, b) if x]) for a, b in pairs)
+    a = own.differences_of([" ".join(WORDS), "", "x  y", "x" * 100])
+    own.kept.most = 1  # whatever is kept goes, the results stay
+    assert [x.tolist() for x in a] == [own.differences(t).tolist() for t in (" ".join(WORDS), "", "x  y", "x" * 100)]
+
+
+def test_merges_of_ranks_out_of_order():
+    """A token whose part has the higher rank, equal ranks, and tokens that the merges never give."""
+    from strandloom.llm.merges import Merges
+
+    for rank in ({"ab": 5, "abc": 1, "bc": 7, "cd": 2, "abcd": 0, "da": 3}, {"ab": 1, "bc": 1, "cd": 1, "abc": 2, "bcd": 2, "da": 1}, {"aa": 1, "aaa": 0, "aaaa": 2, "ba": 0}):
+        m, tokens = Merges(rank), [*"abcd", *rank]
+        assert all(m.beside(a, b) == (m.merged(a + b) == [x for x in (a, b) if x]) for a in ["", *tokens] for b in tokens)
+
+
 def test_shards_are_contiguous_and_even(spark, docs, none):
     from strandloom.llm.sharding import byte_shards
 
