@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by backtracking over longest matches.
 
-A piece's bytes, read as Latin-1, are matched from each place that is reached against an Aho-Corasick automaton of the vocabulary, whose trie bounds the
-longest token that fits there. The encoder takes the longest token at each place and goes back to the next shorter one where the token can't
-stand beside its left neighbour, or where everything after it has failed before. Two tokens can stand side by side if merging their bytes
-by rank gives just these two; that is worked out once a pair and kept. The sequence of tokens all of whose
-neighbours are compatible is unique and is what the merges produce. A place is left for good at most once, so the time is in proportion
-to the piece's length.
+A piece's bytes are matched from each place against a trie of the vocabulary. The encoder takes the longest token at each place and goes
+back to the next shorter one where the token can't stand beside its left neighbour, or where everything after it has failed before.
+Two tokens can stand side by side if merging their bytes by rank gives just these two; that is worked out once a pair and kept.
+The sequence of tokens all of whose neighbours are compatible is unique and is what the merges produce. A place is left for good at
+most once, so the time is in proportion to the piece's length. The distinct pieces of a batch take these steps together, each
+from the place it has reached; long pieces go one by one.
 
 Defined results: null text counts as empty; an empty text has no ids; a text that isn't valid Unicode can't occur in a Spark string; repeated
 rows each get a row; an empty table gives an empty result; other columns are ignored.
@@ -17,7 +17,6 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,10 +26,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import Memo, tidied
+from strandloom.llm.merges import Kept, Merges, Pairs, Trie, laid_out, portions
 
 LONGEST_KEPT = 64  # bytes of a piece whose ids are remembered
 
 
+class Spelling:
+    """Bytes that stand for ids, put together for many texts at once."""
+
+    def __init__(self, of: dict[int, bytes]):
+        self.size = np.zeros(max(of) + 1, np.int64)
+        self.size[list(of)] = list(map(len, of.values()))
+        self.first = np.cumsum(self.size) - self.size
+        self.blob = np.frombuffer(b"".join(of[i] for i in sorted(of)), np.uint8)
+
+    def split(self, ids: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> Iterator[bytes]:
+        """Of each text, whose ids end at `ends`; up to `most` ids at a time."""
+        upto = np.concatenate([[0], np.cumsum(self.size[ids])])
+        parts, done = [], 0
+        for lo in range(0, len(ids), most):
+            own = ids[lo : lo + most]
+            n = self.size[own]
+            after = np.cumsum(n)
+            parts.append(self.blob[np.arange(after[-1]) + np.repeat(self.first[own] - after + n, n)].tobytes())
+        held = parts[0] if len(parts) == 1 else b"".join(parts)
+        for end in upto[ends].tolist():
+            yield held[done:end]
+            done = end
+
+
 class BytePairEncoder:
     """Encodes and decodes by a rank file (one base64 token and its rank a line) and a pattern that splits texts into pieces."""
 
@@ -46,26 +70,76 @@ class BytePairEncoder:
         self.automaton.make_automaton()
         self.longest = max(map(len, self.rank_of))
         self.size = {rank: len(token) for token, rank in self.ranks.items()}
-        self.beside = Memo(self._beside, 400_000)
-        self.alone = Memo(lambda rank: self.merged(self.token[rank]) == [rank], 200_000)
-        self.kept = Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8"))), 400_000)
-
-    def merged(self, data: bytes) -> list[int]:
-        """The merges as defined, lowest rank first; for pairs of tokens only."""
-        parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while True:
-            best, at, left = 1 << 40, 0, b""
-            for i, right in enumerate(parts):
-                rank = ranks.get(left + right, best) if left else best
-                if rank < best:
-                    best, at = rank, i
-                left = right
-            if not at:
-                return [ranks[p] for p in parts]
-            parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
-
-    def _beside(self, pair: tuple[int, int]) -> bool:
-        return self.merged(self.token[pair[0]] + self.token[pair[1]]) == [*pair]
+        self.merges = Merges(self.rank_of)
+        self.latin = list(self.rank_of)
+        self.rank = np.array(list(self.rank_of.values()), np.int32)
+        self.number = {rank: i for i, rank in enumerate(self.rank_of.values())}
+        self.trie = Trie([[c + 1 for c in token] for token in self.ranks], 256)
+        self.pairs = Pairs(lambda a, b: self.merges.beside(self.latin[a] if a >= 0 else "", self.latin[b]), len(self.latin))
+        self.beside = Memo(lambda pair: self.merges.beside(self.latin[self.number[pair[0]]], self.latin[self.number[pair[1]]]), 100_000)
+        self.alone = Memo(lambda rank: self.merges.beside("", self.latin[self.number[rank]]), 100_000)
+        self.own_bytes, self.decimals = (Spelling({rank: of(rank) for rank in self.token}) for of in (self.token.__getitem__, lambda rank: b"%d " % rank))
+        self.whole = {token: np.int32(rank).tobytes() for token, rank in self.ranks.items()}
+        self.kept = Kept(self.encode_pieces, 400_000)
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each, four bytes an id: pieces of up to LONGEST_KEPT bytes together, the others one by one."""
+        out: list[bytes] = [b""] * len(pieces)
+        together, data = [], []
+        for i, piece in enumerate(pieces):
+            own = piece.encode("utf-8")
+            if own in self.whole:
+                out[i] = self.whole[own]
+            elif len(own) <= LONGEST_KEPT:
+                together.append(i)
+                data.append(own)
+            else:
+                out[i] = np.array(self.encode_piece(own), np.int32).tobytes()
+        if not together:
+            return out
+        starts, ends, _ = laid_out(list(map(len, data)))
+        symbols = np.frombuffer(b"\0".join(data) + b"\0", np.uint8).astype(np.int64) + 1
+        symbols[ends] = 0
+        longest = np.full(len(symbols), -1, np.int32)  # by place
+        for at, token in self.trie.matches(symbols):
+            longest[at] = token
+        size, shorter = self.trie.size, self.trie.shorter
+        last, taken = np.full(len(symbols), -1, np.int32), np.full(len(symbols), -1, np.int32)  # by place: the token that ends before it, that begins there
+        dead = np.zeros(len(symbols), bool)
+        at, end, token = starts, ends, longest[starts]
+        while at.size:
+            here = token >= 0
+            after = at + size[token]
+            fits = here & ~dead[np.where(here, after, at)]
+            fits[fits] = self.pairs(last[at[fits]], token[fits])
+            back = np.flatnonzero(~here)
+            go = np.flatnonzero(fits)
+            taken[at[go]] = token[go]
+            last[after[go]] = token[go]
+            token = np.where(here, shorter[token], -1)
+            if back.size:
+                left = last[at[back]]
+                if (left < 0).any():
+                    raise ValueError("the vocabulary lacks a byte")
+                dead[at[back]] = True  # whatever stands before: a place reached by a token fails or goes on as a whole
+                at = at.copy()
+                at[back] -= size[left]
+                token[back] = shorter[left]
+            at = np.where(fits, after, at)
+            token[go] = longest[at[go]]
+            on = at < end
+            at, end, token = at[on], end[on], token[on]
+        on_path, at, end = np.zeros(len(symbols), bool), starts, ends
+        while at.size:
+            on_path[at] = True
+            at = at + size[taken[at]]
+            on = at < end
+            at, end = at[on], end[on]
+        ids = self.rank[taken[on_path]].tobytes()
+        upto = 4 * np.concatenate([[0], np.cumsum(on_path)])
+        for i, a, b in zip(together, upto[starts].tolist(), upto[ends].tolist(), strict=True):
+            out[i] = ids[a:b]
+        return out
 
     def encode_piece(self, data: bytes) -> list[int]:
         if data in self.ranks:
@@ -97,14 +171,21 @@ class BytePairEncoder:
                 at -= size[ids.pop()]
         return ids
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text's after another's, and where each text's end."""
+        pieces = list(map(self.split, texts))
+        known = set().union(*pieces)
+        self.kept.fill(known)
+        ids = [b"".join(map(self.kept.__getitem__, own)) for own in pieces]
+        for p in known:
+            if len(p) > LONGEST_KEPT:
+                del self.kept[p]
+        return np.frombuffer(b"".join(ids), np.int32), np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
+
     def encode(self, text: str) -> list[int]:
-        kept, own = self.kept, self.encode_piece
-        pieces = self.split(text)
-        if len(text) and max(map(len, pieces), default=0) > LONGEST_KEPT:
-            return list(chain.from_iterable(kept[p] if len(p) <= LONGEST_KEPT else own(p.encode("utf-8")) for p in pieces))
-        return list(chain.from_iterable(map(kept.__getitem__, pieces)))
+        return self.encode_all([text])[0].tolist()
 
-    def caches(self) -> list[Memo]:
+    def caches(self) -> list:
         return [self.kept, self.beside]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -131,15 +212,13 @@ def encoded(docs: DataFrame, rank_file: str | None = None, pattern: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(file, split)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = list(map(bpe.encode, texts))
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            all_texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, end in portions(all_texts):
+                part, texts = batch.slice(i, end - i), all_texts[i:end]
+                ids, ends = bpe.encode_all(texts)
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))]
                 if check:
-                    columns.append(pa.array([bpe.decode(x) == t.encode("utf-8") for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                    columns.append(pa.array([x == t.encode("utf-8") for x, t in zip(bpe.own_bytes.split(ids, ends), texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run, lambda: encoder(file, split).caches()), schema)
@@ -151,14 +230,13 @@ def digests(docs: DataFrame, rank_file: str | None = None, pattern: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(file, split)
-        word = [b"%d" % i for i in range(max(bpe.token) + 1)]
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    ids = bpe.encode(text or "")
-                    rows.append((len(ids), hashlib.sha256(b" ".join(map(word.__getitem__, ids))).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            all_texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, end in portions(all_texts):
+                ids, ends = bpe.encode_all(all_texts[i:end])
+                said = [hashlib.sha256(x[:-1]).hexdigest() for x in bpe.decimals.split(ids, ends)]
+                decoded = [hashlib.sha256(x).hexdigest() for x in bpe.own_bytes.split(ids, ends)]
+                columns = [batch.column(0).slice(i, end - i), pa.array(np.diff(ends, prepend=0)), pa.array(said), pa.array(decoded)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run, lambda: encoder(file, split).caches()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -258,6 +258,36 @@ def test_bpe_equals_library(docs, none, texts):
     assert digests(none).count() == 0
 
 
+def test_bpe_takes_pieces_together(tmp_path, monkeypatch):
+    """Short pieces go through the backtracking together, with the ids that they have one by one and in the library, also where it has to go back, and with tokens that no merges give."""
+    import base64
+
+    import tiktoken
+
+    from strandloom.llm.bpe import LONGEST_KEPT, BytePairEncoder, public_vocabulary
+
+    r, file = random.Random(9), tmp_path / "own.tiktoken"
+    some = ["ab", "bc", "abc", "cd", "abcd", "da", "bcda", "aa", "aaa", "aaaa", "dab", "cdab", "bb", "é", "é日", "aab", "baab", "cdcd", "abab", "badcab"]
+    file.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate([bytes([b]) for b in range(256)] + [t.encode() for t in some])))
+    pattern = public_vocabulary()[1]
+    for own, letters in ((BytePairEncoder(str(file), pattern), "abcd"), (BytePairEncoder(*public_vocabulary()), "aeinrst 'é日1.\n\U0001f600")):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.ranks, special_tokens={})
+        pieces = sorted({p for _ in range(3000) for p in own.split("".join(r.choice(letters) for _ in range(r.randint(1, 40))))})
+        long, alone = ["abcd" * 30, "x" * 65], []
+        with monkeypatch.context() as m:
+            m.setattr(own, "encode_piece", lambda data, f=own.encode_piece: alone.append(data.decode()) or f(data))
+            got = [np.frombuffer(x, np.int32).tolist() for x in own.encode_pieces(pieces + long)]
+        assert alone == long and all(len(p.encode()) <= LONGEST_KEPT for p in pieces)
+        assert got == [own.encode_piece(p.encode()) for p in pieces + long]
+        texts = ["", *("".join(r.choice(letters) for _ in range(r.randint(0, 300))) for _ in range(200)), "", *long]
+        own.kept.most = 1  # whatever is kept goes, the results stay
+        for _ in range(2):
+            ids, ends = own.encode_all(texts)
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library.encode_ordinary(t) for t in texts]
+            assert list(own.own_bytes.split(ids, ends, 7)) == [t.encode() for t in texts]
+            assert list(own.decimals.split(ids, ends)) == ["".join(f"{i} " for i in x).encode() for x in np.split(ids, ends[:-1])]
+
+
 def test_prefix_counts_equal_library(docs, none, texts):
     import sentencepiece
 
